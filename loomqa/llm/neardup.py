@@ -46,8 +46,8 @@ def least_overlap(n: int, m: int, t: float) -> int:
     return math.ceil(t * (n + m) / (1 + t) - 1e-9)
 
 
-def frequent_words(df: DataFrame, texts: list[str], n: int, least: int) -> dict[str, int]:
-    """Element -> code of the elements that at least ``least`` rows have, the rarest first.
+def frequent_words(df: DataFrame, texts: list[str], n: int, least: int) -> dict[str, tuple[int, int]]:
+    """Element -> code and number of rows of the elements that at least ``least`` rows have, the rarest first.
 
     Counted over all rows with a combine before the shuffle. At most
     :data:`MOST_FREQUENT` of them, those of the most rows, are taken; so the
@@ -71,7 +71,7 @@ def frequent_words(df: DataFrame, texts: list[str], n: int, least: int) -> dict[
 
     counted = df.mapInArrow(count, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
     top = counted.orderBy(F.desc("c"), "w").limit(MOST_FREQUENT).collect()
-    return {r.w: i for i, r in enumerate(reversed(top))}
+    return {r.w: (i, r.c) for i, r in enumerate(reversed(top))}
 
 
 def encoded_sets(df: DataFrame, key: str, texts: list[str], n: int, frequent: dict[str, int]) -> DataFrame:
@@ -84,36 +84,38 @@ def encoded_sets(df: DataFrame, key: str, texts: list[str], n: int, frequent: di
         for batch in batches:
             enc = []
             for s in _sets(n, batch):
-                low = sorted(code[w] for w in s if w in code)
-                rare = sorted({xxhash.xxh64_intdigest(w) >> 1 for w in s if w not in code})
+                low = sorted(code[w][0] for w in s if w in code)
+                rare = sorted({_rare(w) for w in s if w not in code})
                 enc.append(struct.pack(f"<H{len(rare)}Q{len(low)}H", len(rare), *rare, *low) if s else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(enc, pa.binary())], names=["key", "enc"])
 
     return df.select(F.col(key).alias("key"), *texts).mapInArrow(run, "key long, enc binary").where("enc is not null")
 
 
-def decode_set(enc: bytes) -> tuple[int, ...]:
-    """The elements of an encoded set in the global order; frequent ones are negative numbers."""
-    (r,) = struct.unpack_from("<H", enc)
-    rest = (len(enc) - 2 - 8 * r) // 2
-    v = struct.unpack(f"<H{r}Q{rest}H", enc)
-    return v[1 : r + 1] + tuple(c - 65536 for c in v[r + 1 :])
+#: Set in every hash, so that none equals a code.
+_RARE = 1 << 63
 
 
-_MIX = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+def _rare(w: str) -> int:
+    return xxhash.xxh64_intdigest(w) | _RARE
 
 
-def _extend(path: int, token: int) -> int:
-    """Hash of a path of tokens made longer by one; never the root's 0."""
-    x = (path * 31 + token * _MIX) & _MASK
-    x ^= x >> 29
-    x = (x * 0xBF58476D1CE4E5B9) & _MASK
-    return (x ^ (x >> 32)) or 1
+_LAYOUTS: dict[tuple[int, int], struct.Struct] = {}
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def decode_set(enc: bytes) -> tuple[int, ...]:
+    """The elements of an encoded set in the global order."""
+    key = (enc[0] | enc[1] << 8, len(enc))
+    layout = _LAYOUTS.get(key)
+    if layout is None:
+        r = key[0]
+        layout = _LAYOUTS[key] = struct.Struct(f"<2x{r}Q{(key[1] - 2 - 8 * r) // 2}H")
+    return layout.unpack(enc)
+
+
+def _extend(path: int, token: int) -> int:
+    """Hash of a path of tokens made longer by one. Python hashes tuples of integers alike in every process."""
+    return hash((path, token))
 
 
 def paths(tokens: tuple[int, ...], t: float, split: set[int], most: int) -> Iterator[tuple[int, int, int]]:
@@ -136,36 +138,46 @@ def paths(tokens: tuple[int, ...], t: float, split: set[int], most: int) -> Iter
                 yield p, depth + 1, i + 1
 
 
-def crowded_paths(sets: DataFrame, t: float, cap: int, most: int) -> set[int]:
+def crowded_paths(sets: DataFrame, t: float, cap: int, most: int, split: set[int]) -> set[int]:
     """Hashes of the paths under which more than ``cap`` records would be filed, level by level.
 
-    Each level counts only what lies below the crowded paths of the one before.
-    Their number is at most (paths a record) * rows / cap a level; ``cap`` grows
-    with the root of the rows, so the set broadcast grows with the root at most."""
-    sc = sets.sparkSession.sparkContext
-    split: set[int] = set()
-    for level in range(1, most):
+    ``split`` has the single elements in more than ``cap`` sets. Each further
+    level counts only what lies below the crowded paths of the one before, over
+    the records that have one. Their number is at most (paths a record) * rows /
+    cap a level; ``cap`` grows with the root of the rows, so the set that is
+    broadcast grows with the root at most."""
+    sc, sets = sets.sparkSession.sparkContext, sets.select("enc")
+    for level in range(2, most):
         held = sc.broadcast(split)
 
         def count(batches: Iterator[pa.RecordBatch], held=held, level=level) -> Iterator[pa.RecordBatch]:
             c: Counter = Counter()
 
             def flush() -> pa.RecordBatch:
-                out = pa.RecordBatch.from_arrays([pa.array([_signed(p) for p in c], pa.int64()), pa.array(list(c.values()), pa.int64())], names=["p", "c"])
+                out = pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.int64()), pa.array(list(c.values()), pa.int64())], names=["p", "c"])
                 c.clear()
                 return out
 
             for batch in batches:
                 for enc in batch.column(0).to_pylist():
-                    c.update(p for p, d, _ in paths(decode_set(enc), t, held.value, level) if d == level)
+                    c.update([p for p, d, _ in paths(decode_set(enc), t, held.value, level) if d == level])
                 if len(c) > 300_000:
                     yield flush()
             yield flush()
 
-        found = sets.select("enc").mapInArrow(count, "p long, c long").groupBy("p").agg(F.sum("c").alias("c")).where(F.col("c") > cap).select("p").collect()
+        found = {p for (p,) in sets.mapInArrow(count, "p long, c long").groupBy("p").agg(F.sum("c").alias("c")).where(F.col("c") > cap).select("p").collect()}
         if not found:
             break
-        split = split | {p & _MASK for (p,) in found}
+        if level < 4:
+            now = sc.broadcast(found)
+
+            def having(batches: Iterator[pa.RecordBatch], held=held, now=now, level=level) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    kept = [not now.value.isdisjoint([p for p, d, _ in paths(decode_set(enc), t, held.value, level) if d == level]) for enc in batch.column(0).to_pylist()]
+                    yield batch.filter(pa.array(kept, pa.bool_()))
+
+            sets = materialize(sets.mapInArrow(having, "enc binary"))
+        split = split | found
     return split
 
 
@@ -204,31 +216,53 @@ class PrefixTree:
     def similar(self, size: int, rest: tuple[int, ...], shared: int) -> Iterator[int]:
         """Records whose overlap with the probe, of ``size`` elements of which ``rest`` follow
         the ``shared`` ones of the path, reaches the threshold."""
-        t, where = self.t, {w: i + 1 for i, w in enumerate(rest)}
         mine, n = set(rest), len(rest)
-        need: dict[int, int] = {}
-        stack = [(self.root, shared, 0)]  # node, overlap so far, elements of the probe used up
+        need = _needs(size, self.t)
+        stack = [(self.root, shared, n)]  # node, overlap so far, elements of the probe left
         while stack:
-            node, have, used = stack.pop()
+            node, have, left = stack.pop()
             for s, record in node[3]:
-                if have >= least_overlap(size, s, t):
+                if have >= need[s]:
                     yield record
             for w, child in node[2].items():
-                i = where.get(w)
-                o, u = (have, used) if i is None else (have + 1, i)
+                if w in mine:
+                    o, u = have + 1, left - 1
+                else:
+                    o, u = have, left
                 if type(child) is tuple:
                     s, r, record = child
-                    a = need.get(s) or need.setdefault(s, least_overlap(size, s, t))
-                    # remaining-length bound, then the rest of the chain at once
-                    if o + min(n - u, len(r)) >= a and o + len(mine.intersection(r)) >= a:
+                    a = need[s] - o
+                    # remaining-length bounds, then the rest of the chain at once
+                    if a <= u and a <= len(r) and a <= len(mine.intersection(r)):
                         yield record
                 else:
-                    s = child[0]
-                    a = need.get(s) or need.setdefault(s, least_overlap(size, s, t))
-                    if o + min(n - u, child[1]) >= a:
+                    a = need[child[0]] - o
+                    if a <= u and a <= child[1]:
                         stack.append((child, o, u))
 
 
+class _Needs(dict):
+    """Size of the other set -> overlap needed."""
+
+    def __init__(self, size: int, t: float):
+        super().__init__()
+        self.size, self.t = size, t
+
+    def __missing__(self, other: int) -> int:
+        a = self[other] = least_overlap(self.size, other, self.t)
+        return a
+
+
+_NEEDS: dict[tuple[int, float], _Needs] = {}
+
+
+def _needs(size: int, t: float) -> _Needs:
+    found = _NEEDS.get((size, t))
+    if found is None:
+        found = _NEEDS[size, t] = _Needs(size, t)
+    return found
+
+
 def _filed(sets: DataFrame, t: float, split: set[int], most: int) -> DataFrame:
     """path, record, meta (16 * size + depth), rest: one row for each path a record is filed under."""
     held = sets.sparkSession.sparkContext.broadcast(split)
@@ -241,7 +275,7 @@ def _filed(sets: DataFrame, t: float, split: set[int], most: int) -> DataFrame:
                 tokens = decode_set(enc)
                 n, r = len(tokens), struct.unpack_from("<H", enc)[0]
                 for p, depth, at in paths(tokens, t, held.value, most):
-                    ps.append(_signed(p))
+                    ps.append(p)
                     rec.append(record)
                     meta.append(n * 16 + depth)
                     rest.append(struct.pack("<H", max(0, r - at)) + (enc[2 + 8 * at :] if at < r else enc[2 + 8 * r + 2 * (at - r) :]))
@@ -251,18 +285,23 @@ def _filed(sets: DataFrame, t: float, split: set[int], most: int) -> DataFrame:
 
 
 def _join(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by path and size: probe the tree of the path with each row, then insert it."""
-    current, tree = None, PrefixTree(t)
+    """Rows sorted by path and size: probe the tree of the path with each row, then insert it.
+    A path's first row waits until there is a second one."""
+    current, first, tree = None, None, None
     for batch in batches:
         a, b = [], []
-        for path, record, meta, rest in zip(*(c.to_pylist() for c in batch.columns)):
+        path_of, record_of, meta_of, rest_of = (c.to_pylist() for c in batch.columns)
+        for i, path in enumerate(path_of):
             if path != current:
-                current, tree = path, PrefixTree(t)
-            size, tokens = meta >> 4, decode_set(rest)
-            for other in tree.similar(size, tokens, meta & 15):
-                if other != record:
-                    a.append(min(record, other))
-                    b.append(max(record, other))
+                current, first, tree = path, (record_of[i], meta_of[i], rest_of[i]), None
+                continue
+            if tree is None:
+                tree = PrefixTree(t)
+                tree.insert(first[1] >> 4, decode_set(first[2]), first[0])
+            record, size, tokens = record_of[i], meta_of[i] >> 4, decode_set(rest_of[i])
+            for other in tree.similar(size, tokens, meta_of[i] & 15):
+                a.append(min(record, other))
+                b.append(max(record, other))
             tree.insert(size, tokens, record)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -285,7 +324,7 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], t: float, n: int
     frequent = frequent_words(slim, texts, n, max(40, cap // 2))
     members = materialize(encoded_sets(slim, key, texts, n, frequent))
     sets = materialize(members.groupBy("enc").agg(F.min("key").alias("record"), F.count_distinct("key").alias("copies")).select("record", "enc", "copies"))
-    split = crowded_paths(sets, t, cap, most)
+    split = crowded_paths(sets, t, cap, most, {_extend(0, c) for c, many in frequent.values() if many > cap})
     wide = shuffle_width(df.sparkSession, 2)
     filed = _filed(sets, t, split, most).repartition(wide, "path").sortWithinPartitions("path", "meta")
     links = filed.mapInArrow(lambda b: _join(b, t), "a long, b long").distinct()
