@@ -206,7 +206,12 @@ def _odd_run(run: str) -> bool:
     """Whether a run of non-ASCII characters may be bytes of UTF-8, or Cyrillic read as Latin letters."""
     if any(len(set(x)) > 1 for x in _LATIN_RUN.findall(run)):
         return True
-    return any(_run_as_utf8(x, e) != x for e in SINGLE_BYTE for x in _KNOWN[e].findall(run))
+    for e in SINGLE_BYTE:
+        for x in _KNOWN[e].findall(run):
+            out = _run_as_utf8(x, e)
+            if out != x and plausibility_cost(out) < plausibility_cost(x):
+                return True
+    return False
 
 
 def _odd_cyrillic(text: str) -> bool:
