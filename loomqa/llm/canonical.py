@@ -35,29 +35,35 @@ def labelled_field(record: Column, name: str) -> Column:
 
 
 def relation_parts(df: DataFrame) -> DataFrame:
-    """rel_id with normalised h, t, l (head, type, tail), from the columns or from ``record``."""
+    """rel_id with normalised h, t, l (head, type, tail), from the columns or from ``record``.
+
+    The generator keeps a later filter from evaluating the normal forms a second time."""
     part = lambda n: normal_leaf(F.when(F.col("record").isNotNull(), labelled_field(F.col("record"), n)).otherwise(F.col(n)))
-    return df.select("rel_id", part("head").alias("h"), part("type").alias("t"), part("tail").alias("l"))
+    return df.select("rel_id", F.inline(F.array(F.struct(part("head").alias("h"), part("type").alias("t"), part("tail").alias("l")))))
 
 
-def canonical_copies(df: DataFrame) -> DataFrame:
-    """Every relation's class: columns rel_id, first_rel_id and n_copies, one row for each rel_id.
+def canonical_copies(df: DataFrame, least_copies: int = 1) -> DataFrame:
+    """Every relation's class: columns rel_id, first_rel_id and n_copies, one row for each rel_id
+    of a class of at least ``least_copies`` rows.
 
     Leaves are normalised, child digests sorted under the unordered node and rows
-    grouped by the root digest; the whole normalised structure is part of the
-    grouping key, so a colliding digest cannot join two relations. The smallest
-    rel_id of a class is found in two steps, first for each (class, salt) and
-    then for each class, and goes back to the rows by (class, salt): a class
-    that holds a third of all rows is spread over all salts. Rows in which a
-    part is null or has no letter or digit take no part; rows repeated with the
-    same rel_id count once; an empty table gives no rows."""
-    salts = shuffle_width(df.sparkSession)
+    grouped by the root digest. The smallest rel_id of a class is found in two
+    steps, first for each (class, salt), where the salt comes of the rel_id, and
+    then for each class; it goes back to the rows by (root, salt). So a class
+    that holds a third of all rows is spread over all salts, and the rows move
+    once: the first step and the join use the same partitioning. The whole
+    normalised structure is compared in both, so a colliding digest cannot join
+    two relations. Rows in which a part is null or has no letter or digit take
+    no part; rows repeated with the same rel_id count once; an empty table gives
+    no rows."""
+    width = shuffle_width(df.sparkSession)
     parts = relation_parts(df).where("rel_id is not null and h <> '' and t <> '' and l <> ''")
     root = node_digest([leaf_digest(n, F.col(c)) for n, c in (("head", "h"), ("type", "t"), ("tail", "l"))])
     rows = parts.select(
-        "rel_id", F.unhex(root).alias("root"), F.concat_ws("\x1f", "h", "t", "l").alias("whole"), F.pmod(F.xxhash64("rel_id"), F.lit(salts)).cast("int").alias("salt")
-    )
-    salted = rows.groupBy("root", "whole", "salt").agg(F.min("rel_id").alias("low"), F.count_distinct("rel_id").alias("n"))
+        "rel_id", F.coalesce(F.unhex(root), F.lit(b"")).alias("root"), F.concat_ws("\x1f", "h", "t", "l").alias("whole"), F.coalesce(F.pmod(F.xxhash64("rel_id"), F.lit(width)).cast("int"), F.lit(0)).alias("salt")
+    ).repartition(width, "root", "salt").dropDuplicates(["root", "salt", "whole", "rel_id"])
+    salted = rows.groupBy("root", "salt", "whole").agg(F.min("rel_id").alias("low"), F.count(F.lit(1)).alias("n"))
     first = salted.groupBy("root", "whole").agg(F.min("low").alias("first_rel_id"), F.sum("n").alias("n_copies"), F.collect_set("salt").alias("salts"))
-    spread = first.select("root", "whole", "first_rel_id", "n_copies", F.explode("salts").alias("salt"))
-    return rows.join(spread, ["root", "whole", "salt"]).select("rel_id", "first_rel_id", "n_copies").distinct()
+    spread = first.where(F.col("n_copies") >= least_copies).select("root", F.col("whole").alias("confirmed"), "first_rel_id", "n_copies", F.explode("salts").alias("salt")).repartition(width, "root", "salt")
+    # the comparison stays out of the join's keys, so that the rows keep their partitioning
+    return rows.join(spread, ["root", "salt"]).where(F.array_contains(F.array("confirmed"), F.col("whole"))).select("rel_id", "first_rel_id", "n_copies")

@@ -37,7 +37,7 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return canonical.canonical_copies(table(spark, d, "relation_spans")).where("first_rel_id < rel_id").select("first_rel_id", "rel_id")
+    return canonical.canonical_copies(table(spark, d, "relation_spans"), least_copies=2).where("first_rel_id < rel_id").select("first_rel_id", "rel_id")
 
 
 def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
