@@ -7,6 +7,12 @@ from pyspark.sql import Column, functions as F
 from loomqa.functions.text import answer_tokens, normalize_answer, without_odd_characters, without_quotes, words
 
 
+def let(values: list[Column], body) -> Column:
+    """``body`` of values that are computed once, however often it, or a lambda in it, uses them."""
+    one = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.get(F.transform(one, lambda s: body(*[s[f"v{i}"] for i in range(len(values))])), 0)
+
+
 def exact_match(gold: Column, answer: Column) -> Column:
     """1 if the normalised texts are equal, else 0."""
     return (normalize_answer(gold) == normalize_answer(answer)).cast("int")
@@ -25,14 +31,14 @@ def f1_of(common: Column, n_gold: Column, n_answer: Column) -> Column:
 
 
 def token_f1(gold: Column, answer: Column) -> Column:
-    g, a = answer_tokens(gold), answer_tokens(answer)
-    return f1_of(multiset_overlap(g, a), F.size(g), F.size(a))
+    scored = lambda g, a: let([multiset_overlap(g, a), F.size(g), F.size(a)], f1_of)
+    return F.when(gold.isNotNull() & answer.isNotNull(), let([answer_tokens(gold), answer_tokens(answer)], scored))
 
 
 def set_f1(gold: Column, answer: Column) -> Column:
     """As token_f1, with the overlap counted once a token."""
-    g, a = answer_tokens(gold), answer_tokens(answer)
-    return f1_of(F.size(F.array_intersect(g, a)), F.size(g), F.size(a))
+    scored = lambda g, a: let([F.size(F.array_intersect(g, a)), F.size(g), F.size(a)], f1_of)
+    return F.when(gold.isNotNull() & answer.isNotNull(), let([answer_tokens(gold), answer_tokens(answer)], scored))
 
 
 def normalized_levenshtein(a: Column, b: Column) -> Column:
@@ -56,10 +62,13 @@ def shares_word(a: Column, b: Column) -> Column:
 
 def string_score(a: Column, b: Column) -> Column:
     """3 identical; 2 identical but for quotes and odd characters; else overlap of blank-separated words by the longer list; 0 for two single words."""
-    x, y = without_odd_characters(without_quotes(a)), without_odd_characters(without_quotes(b))
-    xs, ys = F.split(x, " "), F.split(y, " ")
-    share = F.size(F.array_intersect(xs, ys)) / F.greatest(F.size(xs), F.size(ys))
-    return F.when(a.isNull() | b.isNull(), None).when(a == b, 3.0).when(x == y, 2.0).when(x.contains(" ") | y.contains(" "), share).otherwise(0.0)
+
+    def score(x: Column, y: Column) -> Column:
+        xs, ys = F.split(x, " "), F.split(y, " ")
+        share = F.size(F.array_intersect(xs, ys)) / F.greatest(F.size(xs), F.size(ys))
+        return F.when(x == y, 2.0).when(x.contains(" ") | y.contains(" "), share).otherwise(0.0)
+
+    return F.when(a.isNull() | b.isNull(), None).when(a == b, 3.0).otherwise(let([without_odd_characters(without_quotes(a)), without_odd_characters(without_quotes(b))], score))
 
 
 def dot(a: Column, b: Column) -> Column:

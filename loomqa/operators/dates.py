@@ -56,8 +56,8 @@ def tagged(df: DataFrame, key: str, example: str) -> DataFrame:
     each = x.join(modal, [key, "n"]).select(key, F.posexplode("t").alias("pos", "token"))
     by_token = each.groupBy(key, "pos", "token").agg(F.count(F.lit(1)).alias("c"))
     can = matches(F.col("token"))
-    shares = by_token.groupBy(key, "pos").agg(F.min_by("token", F.struct((-F.col("c")).alias("c"), "token")).alias("filler"), *[(F.sum(F.when(m, F.col("c")).otherwise(0)) / F.sum("c")).alias(d) for d, m in can.items()])
-    best = F.array_max(F.array(*[F.struct(F.col(f"`{d}`").alias("share"), F.lit(-i).alias("rank"), F.lit(d).alias("d")) for i, d in enumerate(ORDER)]))
+    shares = by_token.groupBy(key, "pos").agg(F.min_by("token", F.struct((-F.col("c")).alias("c"), "token")).alias("filler"), *[(F.sum(F.when(m, F.col("c")).otherwise(0)) / F.sum("c")).alias(f"share{i}") for i, m in enumerate(can.values())])
+    best = F.array_max(F.array(*[F.struct(F.col(f"share{i}").alias("share"), F.lit(-i).alias("rank"), F.lit(d).alias("d")) for i, d in enumerate(ORDER)]))
     tag = F.when(best.share < 0.5, F.concat(F.lit(" "), F.col("filler"))).otherwise(best.d)
     return shares.select(key, "pos", tag.alias("tag")).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "tag"))), lambda p: p.tag).alias("tags"))
 

@@ -17,7 +17,9 @@ def triplets(linear: Column) -> Column:
 
     def of(part: Column) -> Column:
         pieces = F.split(part, r"(?<!\S)<subj>(?!\S)")
-        return F.transform(F.slice(pieces, 2, 1 << 20), lambda p: F.struct(words(pieces[0]).alias("head"), words(F.substring_index(p, "<obj>", -1)).alias("type"), words(F.when(p.contains("<obj>"), F.substring_index(p, "<obj>", 1)).otherwise(F.lit(""))).alias("tail")))
+        ends = lambda p: F.split(p, r"(?<!\S)<obj>(?!\S)")
+        one = lambda p: F.struct(words(pieces[0]).alias("head"), words(F.element_at(ends(p), -1)).alias("type"), words(F.when(F.size(ends(p)) > 1, ends(p)[0]).otherwise(F.lit(""))).alias("tail"))
+        return F.transform(F.slice(pieces, 2, 1 << 20), one)
 
     return F.filter(F.flatten(F.transform(parts, of)), lambda r: (r.head != "") & (r.type != "") & (r.tail != ""))
 

@@ -4,15 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomqa.functions.similarity import exact_match, token_f1
-from loomqa.functions.text import normalize_answer
+from loomqa.functions.similarity import f1_of, multiset_overlap
+from loomqa.functions.text import answer_tokens, normalize_answer
 from loomqa.operators.running import running_sums
-
-
-def gold_answers(golds: Column) -> Column:
-    """Gold answers whose normal form is not empty, or one empty answer."""
-    kept = F.filter(golds, lambda g: g.isNotNull() & (normalize_answer(g) != ""))
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit("")))
+from loomqa.runtime import materialize
 
 
 def has_answer(golds: Column) -> Column:
@@ -24,14 +19,16 @@ def raw_scores(questions: DataFrame, predictions: DataFrame) -> DataFrame:
     """qid, has_ans, prediction, exact, f1: the best over the gold answers of each predicted question.
 
     ``questions`` has qid and golds (array<string>), ``predictions`` qid and
-    prediction. Questions without a prediction are left out."""
+    prediction. Gold answers without a normal form are dropped; where none is left
+    the gold answer is empty. Questions without a prediction are left out."""
     x = questions.join(predictions.where(F.col("prediction").isNotNull()), "qid")
-    golds = gold_answers(F.col("golds"))
-    return x.select(
-        "qid", has_answer(F.col("golds")).alias("has_ans"), "prediction",
-        F.array_max(F.transform(golds, lambda g: exact_match(g, F.col("prediction")))).cast("double").alias("exact"),
-        F.array_max(F.transform(golds, lambda g: token_f1(g, F.col("prediction")))).alias("f1"),
-    )
+    # one row a gold answer, so that each normal form is computed once; the maxima are combined where the rows are
+    parts = lambda c: F.struct(normalize_answer(c).alias("n"), answer_tokens(c).alias("t"))
+    each = x.select("qid", has_answer(F.col("golds")).alias("has_ans"), "prediction", F.inline(F.array(F.struct(parts(F.col("prediction")).alias("p"), F.filter(F.transform(F.coalesce("golds", F.array().cast("array<string>")), parts), lambda g: g.n.isNotNull() & (g.n != "")).alias("gs")))))
+    nothing = F.array(F.struct(F.lit("").alias("n"), F.array().cast("array<string>").alias("t")))
+    each = each.select("qid", "has_ans", "prediction", "p", F.explode(F.when(F.size("gs") > 0, F.col("gs")).otherwise(nothing)).alias("g"))
+    f1 = f1_of(multiset_overlap(F.col("g.t"), F.col("p.t")), F.size("g.t"), F.size("p.t"))
+    return each.groupBy("qid", "has_ans", "prediction").agg(F.max((F.col("g.n") == F.col("p.n")).cast("double")).alias("exact"), F.max(f1).alias("f1"))
 
 
 def missing_predictions(questions: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -83,7 +80,7 @@ def average_precision(points: DataFrame) -> DataFrame:
 
 def pr_analysis(scores: DataFrame) -> DataFrame:
     """kind, ap for exact match, F1 and an oracle that knows which questions have an answer."""
-    with_oracle = scores.withColumn("oracle", F.col("has_ans").cast("double"))
+    with_oracle = materialize(scores.select("na_prob", "has_ans", "exact", "f1", F.col("has_ans").cast("double").alias("oracle")))
     parts = [average_precision(pr_points(with_oracle, c)).select(F.lit(f"pr_{c}").alias("kind"), "ap") for c in ("exact", "f1", "oracle")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
