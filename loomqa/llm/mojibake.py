@@ -105,7 +105,7 @@ def _char_cost(c: str) -> float:
     if kind[0] == "L":
         return next((cost for a, b, cost in _LETTER_BLOCKS if a <= o <= b), 8.0)
     if kind[0] == "M":
-        return 0.8 if o < 0x370 or 0x20D0 <= o <= 0x20FF or 0xFE00 <= o <= 0xFE2F else 8.0
+        return 1.5 if o < 0x370 or 0x20D0 <= o <= 0x20FF or 0xFE00 <= o <= 0xFE2F else 8.0
     return 2.0 if kind[0] in "SP" else 3.0 if kind[0] == "Z" or kind == "Cf" else 8.0
 
 
@@ -123,7 +123,7 @@ def plausibility_cost(segment: str) -> float:
             total += _char_cost(c)
             if before:
                 if c == before:
-                    total += 3.0 - _char_cost(c)
+                    total += 0.5
                 elif c.isalpha() and before.isalpha():
                     if before > "\x7f" and c < "ɐ" and before < "ɐ":
                         total += 1.5  # accented letters side by side
@@ -154,7 +154,7 @@ def neighbours(segment: str) -> Iterator[str]:
         if out != segment:
             yield out
     cyr = any("Ѐ" <= c <= "ӿ" or c in "╦╒" for c in segment)
-    lat = _LATIN_RUN.search(segment)
+    lat = _latin_run(segment)
     if cyr or lat:
         for (a, _), t in _CROSS.items():
             if cyr if a in CYRILLIC else lat:
@@ -201,10 +201,15 @@ def restore(segment: str, budget: int = 40) -> tuple[str, float]:
     return best, start - best_cost
 
 
+def _latin_run(text: str) -> bool:
+    """Whether accented letters, not all the same, stand side by side."""
+    return any(len(set(x)) > 1 for x in _LATIN_RUN.findall(text))
+
+
 @lru_cache(maxsize=65536)
 def _odd_run(run: str) -> bool:
     """Whether a run of non-ASCII characters may be bytes of UTF-8, or Cyrillic read as Latin letters."""
-    if any(len(set(x)) > 1 for x in _LATIN_RUN.findall(run)):
+    if _latin_run(run):
         return True
     for e in SINGLE_BYTE:
         for x in _KNOWN[e].findall(run):

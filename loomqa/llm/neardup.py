@@ -124,18 +124,24 @@ def paths(tokens: tuple[int, ...], t: float, split: set[int], most: int) -> Iter
     Two similar records share at least ``least_overlap`` elements; of the common
     ones, the k-th stands at a position below n - least + k in each. So both are
     filed under the first one, or, where that path is in ``split``, under the
-    first two, and so on: both decide alike, as ``split`` is the same for all."""
+    first two, and so on: both decide alike, as ``split`` is the same for all. A
+    record that may share no more than the elements of a split path is filed
+    under the path's end as well, as its partners then are."""
     n = len(tokens)
-    slack = n - math.ceil(t * n - 1e-9)  # elements it may have without a partner
+    least = math.ceil(t * n - 1e-9)
+    slack = n - least  # elements it may have without a partner
     stack = [(0, 0, 0)]
     while stack:
         path, depth, at = stack.pop()
-        for i in range(at, min(n, slack + depth + 1)):
+        depth += 1
+        for i in range(at, min(n, slack + depth)):
             p = _extend(path, tokens[i])
-            if p in split and depth + 1 < most and depth + 1 < n - slack:
-                stack.append((p, depth + 1, i + 1))
-            else:
-                yield p, depth + 1, i + 1
+            if p not in split or depth >= most:
+                yield p, depth, i + 1
+                continue
+            stack.append((p, depth, i + 1))
+            if least <= depth:
+                yield _extend(p, -1), depth, i + 1
 
 
 def crowded_paths(sets: DataFrame, t: float, cap: int, most: int, split: set[int]) -> set[int]:
