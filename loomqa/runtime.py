@@ -15,11 +15,13 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or, where that is unset
-    (local tests), a temporary one that is set for the session."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or, where that is unset and
+    everything runs on this machine (tests), a temporary one kept for the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     known = spark.conf.get("spark.loomqa.localShared", None)
     if known is None:
         known = "file://" + tempfile.mkdtemp(prefix="loomqa-")
