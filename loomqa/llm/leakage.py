@@ -16,6 +16,10 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+#: Blocks of items that one pass holds at once when it cuts texts.
+MOST_BLOCKS = 16
+
+
 class SuffixAutomaton:
     """Generalised suffix automaton of the items' word sequences.
 
@@ -173,9 +177,13 @@ def without_leaks(df: DataFrame, doc_id: str, text: str, items: DataFrame, item_
     """doc_id, text, n_removed, dropped: each document with the words of leaked passages cut out.
 
     A document of which more than ``max_coverage`` of the words leaked is
-    dropped as a whole (``dropped``, text null). Null and wordless texts stay as they are."""
-    sc = df.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in _blocks(items, item_id, item_text, block_chars)]
+    dropped as a whole (``dropped``, text null). Null and wordless texts stay as they are.
+    All items must fit into :data:`MOST_BLOCKS` blocks, which are broadcast together."""
+    sc, blocks = df.sparkSession.sparkContext, []
+    for b in _blocks(items, item_id, item_text, block_chars):
+        if len(blocks) == MOST_BLOCKS:
+            raise ValueError("evaluation set too large to cut out in one pass: use leaked_spans, which makes one pass a block")
+        blocks.append(sc.broadcast(b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sams = [SuffixAutomaton(b.value, passage) for b in blocks]
