@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomqa.functions.similarity import let
 from loomqa.functions.text import sentences, word_count
 
 _CHUNKS = "struct<done:array<string>,cur:array<string>,len:int>"
@@ -40,14 +41,16 @@ def overlapping_chunks(question: Column, text: Column, budget: int, overlap: int
 
     The last sentence is never lost and no chunk is empty; a chunk is over the
     budget only if its sentences with their overlap cannot be within it."""
-    sents = sentences(text)
-    room = F.lit(budget) - length(question)
+    # sentences, their lengths and the question's length are computed once
+    return let([sentences(text), length(question)], lambda sents, asked: let([sents, F.transform(sents, length), asked], lambda xs, ns, q: _overlapping(xs, ns, F.lit(budget) - q, overlap)))
 
+
+def _overlapping(sents: Column, lengths: Column, room: Column, overlap: int) -> Column:
     def step(s: Column, i: Column) -> Column:
-        n = length(F.get(sents, i))
+        n = F.get(lengths, i)
         fits = (s.len + n <= room) | (i == s.start)
         back = F.greatest(i - overlap, F.lit(0))
-        carried = F.aggregate(F.slice(sents, back + 1, i - back), F.lit(0), lambda a, x: a + length(x))
+        carried = F.aggregate(F.slice(lengths, back + 1, i - back), F.lit(0), lambda a, x: a + x)
         grown = F.struct(s.cuts.alias("cuts"), s.start.alias("start"), (s.len + n).cast("int").alias("len"))
         cut = F.struct(F.concat(s.cuts, F.array(F.struct(s.start.alias("a"), i.alias("b")))).alias("cuts"), back.cast("int").alias("start"), (carried + n).cast("int").alias("len"))
         return F.when(fits, grown).otherwise(cut)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomqa.functions.similarity import cosine
+from loomqa.functions.similarity import cosine, let
 from loomqa.functions.constants import PUNCTUATION, STOP_WORDS
 from loomqa.runtime import materialize, shuffle_width
 
@@ -114,7 +114,8 @@ def checked_candidates(candidates: Column, answer: Column) -> Column:
     """Candidates that are not blank, not the answer and, but for case and outer blanks, not a copy of one before; null stays null."""
     low = lambda c: F.lower(F.trim(c))
     kept = F.filter(candidates, lambda c: c.isNotNull() & (low(c) != "") & (low(c) != low(answer)))
-    return F.filter(kept, lambda c, i: F.array_position(F.transform(kept, low), low(c)) == i + 1)
+    first = lambda cs, only: F.filter(cs, lambda c, i: F.array_position(only, low(c)) == i + 1)
+    return let([kept], lambda cs: let([cs, F.transform(cs, low)], first))
 
 
 def marginal_relevance(df: DataFrame, group: str, item: str, vector: str, target: str, top_n: int = 5, diversity: float = 0.8) -> DataFrame:
@@ -162,15 +163,16 @@ def best_spans(starts: Column, ends: Column, question_end: Column, nbest: int) -
 def best_answers(spans: Column, tokens: Column, null_score: Column, nbest: int) -> Column:
     """array<struct<text, score>>: the best spans that do not start at 0, one for each text, then the null answer."""
     texts = F.transform(F.filter(spans, lambda p: p.start > 0), lambda p: F.struct(F.array_join(F.slice(tokens, p.start + 1, p.end - p.start + 1), " ").alias("text"), p.score.alias("score")))
-    first = F.filter(texts, lambda x, i: F.array_position(F.transform(texts, lambda y: y.text), x.text) == i + 1)
-    return F.concat(F.slice(first, 1, nbest), F.array(F.struct(F.lit("").alias("text"), null_score.cast("double").alias("score"))))
+    first = lambda xs, only: F.filter(xs, lambda x, i: F.array_position(only, x.text) == i + 1)
+    kept = let([texts], lambda xs: let([xs, F.transform(xs, lambda y: y.text)], first))
+    return F.concat(F.slice(kept, 1, nbest), F.array(F.struct(F.lit("").alias("text"), null_score.cast("double").alias("score"))))
 
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    """Shares of the exponentials, moved by the highest score; empty for no scores."""
+    moved = lambda xs, top: F.transform(xs, lambda x: F.exp(x - top))
+    shares = lambda e: let([e, F.aggregate(e, F.lit(0.0), lambda a, x: a + x)], lambda e, total: F.transform(e, lambda x: x / total))
+    return let([scores, F.array_max(scores)], lambda xs, top: let([moved(xs, top)], shares))
 
 
 def null_margin(answers: Column) -> Column:

@@ -11,7 +11,7 @@ from loomqa.runtime import table
 
 _SPANS = "select distinct head, type, tail, url, span_start, span_end from relation_spans where head is not null and type is not null and tail is not null and url is not null and span_start is not null and span_end is not null"
 _KBR = "(select kb_id, unnest(relations) r from kb)"
-_W = lambda x: f"trim({sub(x, chr(92) + 's+', ' ')})"
+_W = lambda x: sub(sub(x, r"\s+", " "), "^ +| +$")
 
 
 @query(f"select head, type, tail, url, string_agg(span_start || '-' || span_end, ' ' order by span_start, span_end) spans from ({_SPANS}) group by all")

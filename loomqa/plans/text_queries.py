@@ -104,7 +104,7 @@ def pair(name: str, make, sql: str, out: str = "value") -> None:
 
 pair("m01_exact_match", S.exact_match, Q + f"select question_id, cast({norm(_G)} = {norm(_N)} as integer) as value from q")
 pair("m02_token_f1", lambda g, a: F.round(S.token_f1(g, a), 6), _LISTS + f"select question_id, case when g is not null and a is not null then round({f1(overlap('g', 'a'), 'g', 'a')}, 6) end as value from t")
-pair("m03_multiset_overlap", lambda g, a: S.multiset_overlap(T.answer_tokens(g), T.answer_tokens(a)), _LISTS + f"select question_id, case when g is null or a is null then null else cast({overlap('g', 'a')} as integer) end as value from t")
+pair("m03_multiset_overlap", lambda g, a: S.let([T.answer_tokens(g), T.answer_tokens(a)], S.multiset_overlap), _LISTS + f"select question_id, case when g is null or a is null then null else cast({overlap('g', 'a')} as integer) end as value from t")
 pair("m04_set_f1", lambda g, a: F.round(S.set_f1(g, a), 6), _LISTS + f"select question_id, case when g is not null and a is not null then round({f1('len(list_intersect(g, a))', 'g', 'a')}, 6) end as value from t")
 # DuckDB counts edits of bytes, Spark of characters: other characters become one ASCII character on both sides
 _AG, _AN = (sub(c, r"[^\x00-\x7f]", "?") for c in (_G, _N))
@@ -120,7 +120,7 @@ pair(
 )
 
 
-@query(Q + ", a as (select question_id, unnest(answers) w, generate_subscripts(answers, 1) p, generated_selected_ans g from q), s as (select question_id, w, p, lower(trim(g)) x, lower(trim(w)) y from a where w is not null and g is not null), " + f"z as (select question_id, w, p, case when x = y then 3.0 when {sub(chr(116) + 'ranslate(x, ' + lit(chr(34) + chr(39)) + ', ' + lit('') + ')', '[{}^' + chr(92) * 2 + '`⁇<]', ' ')} = {sub(chr(116) + 'ranslate(y, ' + lit(chr(34) + chr(39)) + ', ' + lit('') + ')', '[{}^' + chr(92) * 2 + '`⁇<]', ' ')} then 2.0 else -1 end v from s) select question_id, arg_max(w, v * 1000 - p) as best from z group by 1 having max(v) >= 2")
+@query(Q + ", a as (select question_id, unnest(answers) w, generate_subscripts(answers, 1) p, generated_selected_ans g from q), s as (select question_id, w, p, lower(regexp_replace(g, '^ +| +$', '', 'g')) x, lower(regexp_replace(w, '^ +| +$', '', 'g')) y from a where w is not null and g is not null), " + f"z as (select question_id, w, p, case when x = y then 3.0 when {sub(chr(116) + 'ranslate(x, ' + lit(chr(34) + chr(39)) + ', ' + lit('') + ')', '[{}^' + chr(92) * 2 + '`⁇<]', ' ')} = {sub(chr(116) + 'ranslate(y, ' + lit(chr(34) + chr(39)) + ', ' + lit('') + ')', '[{}^' + chr(92) * 2 + '`⁇<]', ' ')} then 2.0 else -1 end v from s) select question_id, arg_max(w, v * 1000 - p) as best from z group by 1 having max(v) >= 2")
 def t09_closest_answer(spark: SparkSession, d: str) -> DataFrame:
     """The answer most like the selector's output, where one is equal to it but for quotes; the first wins."""
     x = questions(spark, d, "answers", "generated_selected_ans").select("question_id", "generated_selected_ans", F.posexplode("answers").alias("p", "w")).where("w is not null and generated_selected_ans is not null")
@@ -139,7 +139,7 @@ def t12_padded_answers(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d, "answers", "short_answers").select("question_id", pad(F.col("answers")).alias("a"), pad(F.col("short_answers")).alias("s"))
 
 
-@query(Q + ", t as (select question_id, list_filter(answers, lambda x: x is not null and trim(x) <> '' and lower(trim(x)) <> lower(trim(selected_ans))) a from q where selected_ans is not null) select question_id, list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(trim(y))), lower(trim(x))) = i) as kept from t")
+@query(Q + ", t as (select question_id, list_filter(answers, lambda x: x is not null and regexp_replace(x, '^ +| +$', '', 'g') <> '' and lower(regexp_replace(x, '^ +| +$', '', 'g')) <> lower(regexp_replace(selected_ans, '^ +| +$', '', 'g'))) a from q where selected_ans is not null) select question_id, list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(regexp_replace(y, '^ +| +$', '', 'g'))), lower(regexp_replace(x, '^ +| +$', '', 'g'))) = i) as kept from t")
 def prj10_checked_candidates(spark: SparkSession, d: str) -> DataFrame:
     from loomqa.operators.select import checked_candidates
 

@@ -22,6 +22,20 @@ def squad(spark: SparkSession, path: str) -> DataFrame:
     return p.select("p.context", F.explode("p.qas").alias("q")).select(F.col("q.id").alias("qid"), "context", "q.question", F.coalesce(F.transform("q.answers", lambda a: a.text), F.array().cast("array<string>")).alias("golds"))
 
 
+def squad_rows(text: Column) -> Column:
+    """array<struct<context, qid, question, golds>> of an evaluation data set held as JSON text; null if it is not valid."""
+    d = F.from_json(text, SQUAD)
+    questions = lambda p: F.transform(p.qas, lambda q: F.struct(p.context.alias("context"), q.id.alias("qid"), q.question.alias("question"), F.coalesce(F.transform(q.answers, lambda a: a.text), F.array().cast("array<string>")).alias("golds")))
+    return F.flatten(F.transform(F.flatten(F.transform(d.data, lambda x: x.paragraphs)), questions))
+
+
+def labelled_line(line: Column) -> Column:
+    """struct<text, label> of a ``text,label`` line; a line without exactly one comma is an error."""
+    parts = F.split(line, ",", -1)
+    good = F.when(F.size(parts) == 2, parts).otherwise(F.raise_error(F.concat(F.lit("not one comma: "), line)))
+    return F.struct(good[0].alias("text"), good[1].cast("float").alias("label"))
+
+
 def _map_file(spark: SparkSession, path: str, kind: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", f"map<string,{kind}>")))
@@ -46,10 +60,8 @@ def training_row(context: Column, questions: Column, mark: str = "{sep_token}")
 
 
 def labelled_lines(spark: SparkSession, path: str) -> DataFrame:
-    """text, label of ``text,label`` lines; a line without exactly one comma is an error."""
-    t = spark.read.text(path)
-    parts = F.split("value", ",", -1)
-    return t.select(F.when(F.size(parts) == 2, parts).otherwise(F.raise_error(F.concat(F.lit("not one comma: "), F.col("value")))).alias("p")).select(F.col("p")[0].alias("text"), F.col("p")[1].cast("float").alias("label"))
+    """text, label of a file of ``text,label`` lines."""
+    return spark.read.text(path).select(labelled_line(F.col("value")).alias("p")).select("p.text", "p.label")
 
 
 def report_pairs(text: Column) -> Column:
@@ -84,6 +96,11 @@ def links(df: DataFrame, url: str, most: int) -> DataFrame:
     return df.select(url).distinct().orderBy(url).limit(most)
 
 
+def kb_read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables written by :func:`loomqa.sources.writers.kb_write`."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("entities", "relation_spans", "sources")}
+
+
 def checkpoint_read(spark: SparkSession, path: str) -> DataFrame:
     """A stage written by :func:`loomqa.sources.writers.checkpoint_write`."""
     return spark.read.parquet(path)

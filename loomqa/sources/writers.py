@@ -47,3 +47,9 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 def checkpoint_write(df: DataFrame, path: str) -> None:
     """A stage of the pipeline, for :func:`loomqa.sources.readers.checkpoint_read`."""
     df.write.mode("overwrite").parquet(path)
+
+
+def kb_write(entities: DataFrame, relation_spans: DataFrame, sources: DataFrame, path: str) -> None:
+    """A knowledge base as its three tables."""
+    for name, df in (("entities", entities), ("relation_spans", relation_spans), ("sources", sources)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
