@@ -125,11 +125,13 @@ where rnk <= 3""",
         "p3_found": r"""
 with q as (select distinct question_id, lower(coalesce(question, '')) || ' ' || lower(coalesce(selected_ans, '')) t from questions_df),
 w as (select distinct question_id, unnest(regexp_extract_all(t, '[\p{L}\p{N}]+')) word from q),
-s as (select question_id, count(*) n from w group by 1),
-x as (select a.question_id a, b.question_id b, count(*) common from w a join w b on a.word = b.word and a.question_id < b.question_id group by 1, 2)
-select a question_id_a, b question_id_b
-from x join s l on l.question_id = a join s r on r.question_id = b
-where common >= 0.75 * (l.n + r.n - common)""",
+f as (select word, count(*) df from w group by 1),
+r as (select question_id, word, row_number() over (partition by question_id order by df, word) k, count(*) over (partition by question_id) n from w join f using (word)),
+p as (select question_id, word, n from r where k <= n - ceil(0.75 * n) + 1),
+s as (select question_id, list(word) ws, count(*) n from w group by 1),
+c as (select distinct a.question_id a, b.question_id b from p a join p b on a.word = b.word and a.question_id < b.question_id and b.n >= 0.75 * a.n and a.n >= 0.75 * b.n),
+x as (select a, b, l.n + r.n n, len(list_intersect(l.ws, r.ws)) common from c join s l on l.question_id = a join s r on r.question_id = b)
+select a question_id_a, b question_id_b from x where common >= 0.75 * (n - common)""",
         "p5_found": _COPIES + "select first_rel_id, rel_id from c where first_rel_id < rel_id",
         "p5_collapsed": _COPIES + "select first_rel_id, n_copies from c where first_rel_id = rel_id",
         "p6_found": """
