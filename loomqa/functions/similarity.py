@@ -21,7 +21,10 @@ def exact_match(gold: Column, answer: Column) -> Column:
 def multiset_overlap(a: Column, b: Column) -> Column:
     """Common elements, each as often as both lists have it; null if either list is."""
     times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.when(a.isNotNull() & b.isNotNull(), F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x))))
+    counted = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x)))
+    # where one side repeats nothing, the distinct common elements are all there is
+    plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(plain, F.size(F.array_intersect(a, b))).otherwise(counted))
 
 
 def f1_of(common: Column, n_gold: Column, n_answer: Column) -> Column:

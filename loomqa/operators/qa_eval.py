@@ -67,10 +67,11 @@ def pr_points(scores: DataFrame, score: str) -> DataFrame:
 
     Ties are summed before the running sums, so those run over distinct values
     only. No rows if no question has an answer."""
-    groups = scores.groupBy("na_prob").agg(F.sum(F.when(F.col("has_ans"), F.col(score)).otherwise(0.0)).alias("tp"), F.count(F.lit(1)).alias("n"))
-    total = scores.agg(F.count_if("has_ans").alias("positives"))
+    has = F.col("has_ans")
+    groups = scores.groupBy("na_prob").agg(F.sum(F.when(has, F.col(score)).otherwise(0.0)).alias("tp"), F.count(F.lit(1)).alias("n"), F.count_if(has).alias("pos"))
     run = running_sums(groups, ["na_prob"], {"tps": F.col("tp"), "ns": F.col("n")})
-    return run.crossJoin(F.broadcast(total)).where("positives > 0").select("na_prob", (F.col("tps") / F.col("ns")).alias("precision"), (F.col("tps") / F.col("positives")).alias("recall"), (F.col("tp") / F.col("positives")).alias("gained"))
+    total = run.agg(F.sum("pos").alias("positives"))
+    return run.crossJoin(F.broadcast(total)).where("positives > 0").select("na_prob", (F.col("tps") / F.col("ns")).alias("precision"), (F.col("tps") / F.col("positives")).alias("recall"), (F.col("tp") / F.col("positives")).alias("gained"))  # the total is one row
 
 
 def average_precision(points: DataFrame) -> DataFrame:
@@ -91,10 +92,9 @@ def best_threshold(scores: DataFrame, score: str) -> DataFrame:
     Rows are taken by na_prob and then qid; each answerable one adds its score,
     each answered unanswerable one takes one point off."""
     gain = F.when(F.col("has_ans"), F.col(score)).when(F.col("prediction") != "", -1.0).otherwise(0.0)
-    run = running_sums(scores.select("qid", "na_prob", gain.alias("gain")), ["na_prob", "qid"], {"gained": F.col("gain")})
-    top = run.agg(F.max_by(F.struct("gained", "na_prob"), F.struct(F.round("gained", 9).alias("g"), (-F.col("na_prob")).alias("p"))).alias("t"))
-    base = scores.agg(F.count_if(~F.col("has_ans")).alias("none"), F.count(F.lit(1)).alias("n"))
-    x = top.crossJoin(base).where("n > 0")
+    run = running_sums(scores.select("qid", "na_prob", (~F.col("has_ans")).alias("none"), gain.alias("gain")), ["na_prob", "qid"], {"gained": F.col("gain")})
+    first = F.struct(F.round("gained", 9).alias("g"), (-F.col("na_prob")).alias("p"))
+    x = run.agg(F.max_by(F.struct("gained", "na_prob"), first).alias("t"), F.count_if("none").alias("none"), F.count(F.lit(1)).alias("n")).where("n > 0")
     better = F.round(F.col("t.gained"), 9) > 0
     return x.select((100 * (F.col("none") + F.when(better, F.col("t.gained")).otherwise(0.0)) / F.col("n")).alias("best"), F.when(better, F.col("t.na_prob")).otherwise(0.0).alias("threshold"))
 
