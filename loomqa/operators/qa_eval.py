@@ -71,7 +71,7 @@ def pr_points(scores: DataFrame, score: str) -> DataFrame:
     groups = scores.groupBy("na_prob").agg(F.sum(F.when(has, F.col(score)).otherwise(0.0)).alias("tp"), F.count(F.lit(1)).alias("n"), F.count_if(has).alias("pos"))
     run = running_sums(groups, ["na_prob"], {"tps": F.col("tp"), "ns": F.col("n")})
     total = run.agg(F.sum("pos").alias("positives"))
-    return run.crossJoin(F.broadcast(total)).where("positives > 0").select("na_prob", (F.col("tps") / F.col("ns")).alias("precision"), (F.col("tps") / F.col("positives")).alias("recall"), (F.col("tp") / F.col("positives")).alias("gained"))  # the total is one row
+    return run.withColumn("positives", total.scalar()).where("positives > 0").select("na_prob", (F.col("tps") / F.col("ns")).alias("precision"), (F.col("tps") / F.col("positives")).alias("recall"), (F.col("tp") / F.col("positives")).alias("gained"))
 
 
 def average_precision(points: DataFrame) -> DataFrame:
@@ -104,11 +104,11 @@ def histogram(df: DataFrame, value: str, bins: int = 20, low: float = 0.0, high:
     b = F.least(F.floor((F.col(value) - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
     total = df.where(F.col(value).isNotNull()).agg(F.count(F.lit(1)).alias("n"))
     counted = df.where(F.col(value).between(low, high)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    return counted.crossJoin(F.broadcast(total)).select("bin", (F.col("c") / F.col("n")).alias("share"))
+    return counted.select("bin", (F.col("c") / total.scalar()).alias("share"))
 
 
 def cumulative_shares(df: DataFrame, value: str, width: int) -> DataFrame:
     """bucket, share: share of rows up to each bucket of ``width``."""
     counted = df.where(F.col(value).isNotNull()).groupBy(F.floor(F.col(value) / width).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
     run = running_sums(counted, ["bucket"], {"upto": F.col("c")})
-    return run.crossJoin(F.broadcast(counted.agg(F.sum("c").alias("n")))).select("bucket", (F.col("upto") / F.col("n")).alias("share"))
+    return run.select("bucket", (F.col("upto") / counted.agg(F.sum("c").alias("n")).scalar()).alias("share"))
