@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomqa.operators.kb import labelled_field
 from loomqa.runtime import shuffle_width
 
 
@@ -22,18 +23,6 @@ def node_digest(children: list[Column]) -> Column:
     return F.md5(F.array_join(F.array_sort(F.array(*children)), "|"))
 
 
-def labelled_field(record: Column, name: str) -> Column:
-    """The value of ``name`` in a labelled record text.
-
-    Known layouts: a JSON object, ``name=value; ...``, ``NAME: value | ...`` and
-    one ``Name : value`` a line. The order of the fields is free; null if the
-    label is missing."""
-    in_json = F.get_json_object(record, f"$.{name}")
-    by_line = F.nullif(F.regexp_extract(record, rf"(?is)(?:^|[\n|;])\s*{name}\s*[:=]((?:(?![\n|;]\s*(?:head|type|tail)\s*[:=]).)*)", 0), F.lit(""))
-    value = F.regexp_replace(by_line, rf"(?is)^[\n|;]?\s*{name}\s*[:=]", "")
-    return F.when(F.ltrim(record).startswith("{"), in_json).otherwise(value)
-
-
 def relation_parts(df: DataFrame) -> DataFrame:
     """rel_id with normalised h, t, l (head, type, tail), from the columns or from ``record``.
 

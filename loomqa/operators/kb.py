@@ -24,6 +24,28 @@ def triplets(linear: Column) -> Column:
     return F.filter(F.flatten(F.transform(parts, of)), lambda r: (r.head != "") & (r.type != "") & (r.tail != ""))
 
 
+def labelled_field(record: Column, name: str) -> Column:
+    """The value of ``name`` in a labelled record text, with its own blanks but without its layout's.
+
+    Known layouts: a JSON object, ``name=value; ...``, ``NAME: value | ...`` and
+    one ``Name : value`` a line. The order of the fields is free; null if the
+    label is missing."""
+    in_json = F.get_json_object(record, f"$.{name}")
+    label = r"\s*(?:head|type|tail)\s*[:=]"
+    by_line = F.nullif(F.regexp_extract(record, rf"(?is)(?:^|[\n|;])\s*{name}\s*[:=]((?:(?! ?\|{label}|[\n;]{label}).)*)", 0), F.lit(""))
+    value = F.regexp_replace(by_line, rf"(?is)^[\n|;]?\s*{name}\s*(?:: ?|=)", "")
+    return F.when(F.ltrim(record).startswith("{"), in_json).otherwise(value)
+
+
+def read_records(spans: DataFrame) -> DataFrame:
+    """Relation spans whose head, type and tail are read from ``record`` where the columns are null.
+
+    The generator keeps a later filter from reading the records a second time."""
+    names = ["head", "type", "tail"]
+    read = [F.coalesce(F.col(n), labelled_field(F.col("record"), n)).alias(n) for n in names]
+    return spans.select(*[c for c in spans.columns if c not in [*names, "record"]], F.inline(F.array(F.struct(*read))))
+
+
 def merged_relations(spans: DataFrame) -> DataFrame:
     """head, type, tail, meta: map of url -> distinct spans, in order.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomqa.functions import text as T
 from loomqa.operators import annotations as A
+from loomqa.operators.kb import read_records
 from loomqa.plans.registry import query
 from loomqa.plans.sqltext import Q, items, words
 from loomqa.plans.text_queries import questions
@@ -52,7 +53,7 @@ def j06_similar_entities(spark: SparkSession, d: str) -> DataFrame:
 
 @query("with n as (select distinct head term, type sense, tail neighbour, 1.0 / (1 + length(tail)) score from relation_spans where head is not null and type is not null and tail is not null), t as (select distinct term, sense from n) select term, sense, neighbour, cast(rnk as integer) rnk from (select t.term, t.sense, neighbour, row_number() over (partition by t.term, t.sense order by score desc, neighbour) rnk from t join n on t.term = n.term and t.sense = n.sense) where rnk <= 3")
 def x08_sense_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "relation_spans").where("head is not null and type is not null and tail is not null")
+    r = read_records(table(spark, d, "relation_spans")).where("head is not null and type is not null and tail is not null")
     n = r.select(F.col("head").alias("term"), F.col("type").alias("sense"), F.col("tail").alias("neighbour"), (1.0 / (1 + F.char_length("tail"))).alias("score"), F.lit(True).alias("is_best_sense")).distinct()
     return A.sense_neighbours(n.select("term", "sense").distinct(), n, 3).select("term", "sense", "neighbour", "rnk")
 

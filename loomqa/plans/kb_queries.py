@@ -16,7 +16,7 @@ _W = lambda x: sub(sub(x, r"\s+", " "), "^ +| +$")
 
 @query(f"select head, type, tail, url, string_agg(span_start || '-' || span_end, ' ' order by span_start, span_end) spans from ({_SPANS}) group by all")
 def a11_u05_merged_relations(spark: SparkSession, d: str) -> DataFrame:
-    m = K.merged_relations(table(spark, d, "relation_spans"))
+    m = K.merged_relations(K.read_records(table(spark, d, "relation_spans")))
     return m.select("head", "type", "tail", F.explode("meta").alias("url", "s")).select("head", "type", "tail", "url", F.array_join(F.transform("s", lambda x: F.array_join(x.cast("array<string>"), "-")), " ").alias("spans"))
 
 
@@ -42,7 +42,7 @@ def j07_resolved_relations(spark: SparkSession, d: str) -> DataFrame:
 def j08_union_of_bases(spark: SparkSession, d: str) -> DataFrame:
     names = ["head", "type", "tail", "url", "span_start", "span_end"]
     own = nested.kb_spans(table(spark, d, "kb")).select("head", "type", "tail", F.col("item_key").alias("url"), F.get("span", 0).alias("span_start"), F.get("span", 1).alias("span_end"))
-    return K.union_kbs(table(spark, d, "relation_spans").select(*names), own).select("head", "type", "tail", F.size("meta").cast("long").alias("n_urls"))
+    return K.union_kbs(K.read_records(table(spark, d, "relation_spans")).select(*names), own).select("head", "type", "tail", F.size("meta").cast("long").alias("n_urls"))
 
 
 _MARKED = "'  ' || replace(" + sub(sub("text", "<s>|<pad>|</s>"), r"\s+", " ") + ", ' ', '  ') || '  '"
@@ -81,7 +81,7 @@ _EDGES = "(select distinct head src, tail dst, type label from relation_spans wh
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "relation_spans").select(F.col("head").alias("src"), F.col("tail").alias("dst"), F.col("type").alias("label")).dropna().distinct()
+    return K.read_records(table(spark, d, "relation_spans")).select(F.col("head").alias("src"), F.col("tail").alias("dst"), F.col("type").alias("label")).dropna().distinct()
 
 
 @query(f"select src, dst, label from {_EDGES}")
