@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomqa.functions import text as T
 from loomqa.operators import dates
-from loomqa.plans import pipeline
+from loomqa.plans import pipeline, stand_ins
 from loomqa.plans.registry import query
 from loomqa.plans.sqltext import Q, dot, items, words
 from loomqa.plans.text_queries import questions
@@ -84,8 +84,9 @@ def x16_padded_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query(Q + "select question_id, cast(coalesce(len(list_filter(answers, lambda a: a is not null)), 0) as integer) as n from q")
 def a10_a18_variants(spark: SparkSession, d: str) -> DataFrame:
-    """Number of answer variants a score would be computed for."""
-    return questions(spark, d, "answers").select("question_id", F.coalesce(F.size(F.filter("answers", lambda a: a.isNotNull())), F.lit(0)).alias("n"))
+    """A score of each of a question's answer variants, four long and four short at most, by a stand-in scorer."""
+    q = questions(spark, d, "text", "question", "answers", "short_answers")
+    return pipeline.variant_scores(q, stand_ins.stand_in_scorer).withColumn("score", F.round("score", 6))
 
 
 @query("select o_orderpriority kind, count(*) n from orders where o_orderpriority is not null group by 1")

@@ -96,6 +96,15 @@ def regenerated_questions(questions: DataFrame, negative: Callable[[], Model], r
     return x.withColumn("details", F.when(F.col("neg").isNotNull(), F.concat("details", F.lit(" NEGATIVE: "), "neg")).otherwise(F.col("details"))).drop("neg", "made")
 
 
+def variant_scores(questions: DataFrame, score: Callable[[], Model]) -> DataFrame:
+    """question_id, kind (long or short), pos, variant, score: a score of each answer variant that is not null.
+
+    ``score`` yields a model of (context, question, answer)."""
+    of = lambda c, kind: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x.alias("variant")))
+    each = questions.select("question_id", "text", "question", F.inline(F.concat(of("answers", "long"), of("short_answers", "short")))).where("variant is not null")
+    return each.select("question_id", "kind", "pos", "variant", model_column(score, "double", F.col("text"), F.col("question"), F.col("variant")).alias("score"))
+
+
 def diversified(questions: DataFrame, encode: Callable[[], Model], score: Callable[[], Model], n: int = 35, least_score: float | None = None) -> DataFrame:
     """Adds rquge and use_question: the best questions of each article, unlike one another.
 

@@ -100,10 +100,14 @@ def t01_t10_ranked_questions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(Q + "select article_id, section_n, question_id, cast(row_number() over (partition by article_id, section_n order by round(section_n_chunk * 10), rquge desc, question_id) as integer) rnk from q where use_question and section_n_chunk is not null and not isnan(section_n_chunk) and rquge is not null and not isnan(rquge)")
 def a09_a17_nested_result(spark: SparkSession, d: str) -> DataFrame:
-    """The nested result flat, one row a question with its place: a section of any size is never one row."""
-    q = questions(spark, d, "article_id", "section_n", "section_n_chunk", "rquge", "use_question").where("use_question and section_n_chunk is not null and not isnan(section_n_chunk) and rquge is not null and not isnan(rquge)")
-    q = q.withColumns({"chunk": F.round(F.col("section_n_chunk") * 10), "neg": -F.col("rquge")})
-    return numbered(q, ["article_id", "section_n"], ["chunk", "neg", "question_id"]).select("article_id", "section_n", "question_id", "rnk")
+    """The nested result flat, one row a question with its place: a section of any size is never one row.
+    A section of 0 to an article's last that has no such question gives one row with null question_id and rnk."""
+    q = questions(spark, d, "article_id", "section_n", "section_n_chunk", "rquge", "use_question")
+    ranked = F.coalesce(F.expr("use_question and section_n_chunk is not null and not isnan(section_n_chunk) and rquge is not null and not isnan(rquge)"), F.lit(False))
+    places = table(spark, d, "questions_df").groupBy("article_id").agg(F.max("section_n").alias("last"), F.collect_set(F.when(ranked, F.col("section_n"))).alias("filled")).where("last >= 0")
+    empty = places.select("article_id", F.explode(F.array_except(F.sequence(F.lit(0), "last"), "filled")).alias("section_n"), F.lit(None).cast("long").alias("question_id"), F.lit(None).cast("int").alias("rnk"))
+    q = q.where(ranked).withColumns({"chunk": F.round(F.col("section_n_chunk") * 10), "neg": -F.col("rquge")})
+    return numbered(q, ["article_id", "section_n"], ["chunk", "neg", "question_id"]).select("article_id", "section_n", "question_id", "rnk").unionByName(empty)
 
 
 @query(Q + "select distinct article_id, section_n, cast(round(10 * (section_n_chunk - section_n)) as integer) chunk_n from q where section_n_chunk is not null and not isnan(section_n_chunk)")
