@@ -106,12 +106,11 @@ pair("m01_exact_match", S.exact_match, Q + f"select question_id, cast({norm(_G)}
 pair("m02_token_f1", lambda g, a: F.round(S.token_f1(g, a), 6), _LISTS + f"select question_id, case when g is not null and a is not null then round({f1(overlap('g', 'a'), 'g', 'a')}, 6) end as value from t")
 pair("m03_multiset_overlap", lambda g, a: S.let([T.answer_tokens(g), T.answer_tokens(a)], S.multiset_overlap), _LISTS + f"select question_id, case when g is null or a is null then null else cast({overlap('g', 'a')} as integer) end as value from t")
 pair("m04_set_f1", lambda g, a: F.round(S.set_f1(g, a), 6), _LISTS + f"select question_id, case when g is not null and a is not null then round({f1('len(list_intersect(g, a))', 'g', 'a')}, 6) end as value from t")
-# DuckDB counts edits of bytes, Spark of characters: other characters become one ASCII character on both sides
+# DuckDB counts edits of bytes: in its SQL, not in the queries, other characters become one ASCII character
 _AG, _AN = (sub(c, r"[^\x00-\x7f]", "?") for c in (_G, _N))
-ascii_only = lambda c: T.sub(c, r"[^\x00-\x7f]", "?")
-pair("m05_levenshtein", lambda g, a: F.levenshtein(ascii_only(g), ascii_only(a)), Q + f"select question_id, cast(levenshtein({_AG}, {_AN}) as integer) as value from q")
-pair("m06_normalized_levenshtein", lambda g, a: F.round(S.normalized_levenshtein(ascii_only(g), ascii_only(a)), 6), Q + f"select question_id, case when {_G} is null or {_N} is null then null when greatest(length({_G}), length({_N})) = 0 then 0.0 else round(levenshtein({_AG}, {_AN}) / greatest(length({_AG}), length({_AN})), 6) end as value from q")
-pair("m07_one_edit", lambda g, a: S.one_edit(ascii_only(g), ascii_only(a)), Q + f"select question_id, damerau_levenshtein({_AG}, {_AN}) <= 1 as value from q")
+pair("m05_levenshtein", F.levenshtein, Q + f"select question_id, cast(levenshtein({_AG}, {_AN}) as integer) as value from q")
+pair("m06_normalized_levenshtein", lambda g, a: F.round(S.normalized_levenshtein(g, a), 6), Q + f"select question_id, case when {_G} is null or {_N} is null then null when greatest(length({_G}), length({_N})) = 0 then 0.0 else round(levenshtein({_AG}, {_AN}) / greatest(length({_AG}), length({_AN})), 6) end as value from q")
+pair("m07_one_edit", S.one_edit, Q + f"select question_id, damerau_levenshtein({_AG}, {_AN}) <= 1 as value from q")
 pair("m08_shares_word", S.shares_word, Q + f"select question_id, len(list_intersect({words(_G)}, {words(_N)})) > 0 as value from q where {_G} is not null and {_N} is not null union all select question_id, null from q where {_G} is null or {_N} is null")
 _X, _Y = (sub(f"translate({c}, '\"''', '')", "[{}^\\\\`⁇<]", " ") for c in (_G, _N))
 pair(
