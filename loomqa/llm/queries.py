@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomqa.llm import bpe, canonical, defects, leakage, mojibake, neardup, splitting, topn
+from loomqa.plans.pipeline import labels
 from loomqa.runtime import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -65,6 +66,11 @@ def p7_ids(spark: SparkSession, d: str, vocabulary: str = VOCABULARY) -> DataFra
     return bpe.encode_corpus(table(spark, d, "documents"), "doc_id", "text", vocabulary)
 
 
+def x16_document_labels(spark: SparkSession, d: str, length: int = 512) -> DataFrame:
+    """Labels of a fixed length of each document's real token ids. Every id from 0 on is a token, so -1 pads."""
+    return p7_ids(spark, d).select("doc_id", labels(F.col("ids"), length, pad=-1).alias("label_ids"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_spans(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", 12)
 
@@ -90,7 +96,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_labels, p3_found, p3_classes, p5_found, p5_collapsed, p6_found, p6_pieces, p7_ids, p8_found, p8_spans, p8_cleaned, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_labels, p3_found, p3_classes, p5_found, p5_collapsed, p6_found, p6_pieces, p7_ids, x16_document_labels, p8_found, p8_spans, p8_cleaned, p9_found, p9_restored)}
 
 
 _COPIES = r"""

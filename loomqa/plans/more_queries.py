@@ -10,7 +10,7 @@ from loomqa.plans import pipeline, stand_ins
 from loomqa.plans.registry import query
 from loomqa.plans.sqltext import Q, dot, items, words
 from loomqa.plans.text_queries import questions
-from loomqa.runtime import table
+from loomqa.runtime import materialize, table
 from loomqa.functions.constants import STOP_WORDS
 
 
@@ -110,3 +110,17 @@ def pipeline_use_counts(spark: SparkSession, d: str) -> DataFrame:
     return q.groupBy("use_question").agg(F.count(F.lit(1)).alias("n"), F.sum(((F.col("rquge") > 2.3) & ~F.isnan("rquge")).cast("int")).alias("good"))
 
 
+@query()
+def pipeline_stages(spark: SparkSession, d: str) -> DataFrame:
+    """The four stages in a chain, with stand-in models, over the questions generated from all sections and all
+    of questions_df. A generated question's answers are stand-ins too: the first sentences of its chunk."""
+    sections = table(spark, d, "sections").select("article_id", "section_n", "text").dropDuplicates(["article_id", "section_n"])
+    made = pipeline.generated_questions(sections, stand_ins.stand_in_generator)
+    sentences = F.slice(F.split("text", r"(?<=[.!?])\s+"), 1, 4)
+    made = made.withColumns({"question_id": F.xxhash64("article_id", "section_n", "chunk_n", "question"), "answers": sentences, "short_answers": F.transform(sentences, lambda x: F.substring_index(x, " ", 3))})
+    names = ["question_id", "article_id", "section_n", "text", "question", "answers", "short_answers"]
+    chosen = pipeline.selected_answers(made.select(*names).unionByName(questions(spark, d, *names[1:])), stand_ins.stand_in_chooser)
+    # the last stage reads its input twice: the models before it run once
+    asked = materialize(pipeline.regenerated_questions(chosen, stand_ins.stand_in_negation, stand_ins.stand_in_regenerator))
+    done = pipeline.diversified(asked, stand_ins.stand_in_encoder, stand_ins.stand_in_scorer)
+    return done.select("question_id", "article_id", "section_n", "selected_ans", "details", "new_question", F.round("rquge", 6).alias("rquge"), "use_question")

@@ -5,8 +5,9 @@ from collections import defaultdict
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from loomqa.plans import registry
+from loomqa.plans import pipeline, registry
 
 
 @pytest.fixture(scope="module")
@@ -42,3 +43,26 @@ def test_each_variant_has_a_score(spark, data, asked):
                     expected[k, kind, i] = (v, round(1 + 4 * sum(x in held for x in w) / max(1, len(w)), 6))
     got = registry.queries()["a10_a18_variants"](spark, data).collect()
     assert len(got) == len(expected) and {(r.question_id, r.kind, r.pos): (r.variant, r.score) for r in got} == expected
+
+
+def test_stages_over_whole_tables(spark, data, asked):
+    rows = registry.queries()["pipeline_stages"](spark, data).collect()
+    by_id = {r.question_id: r for r in rows}
+    assert len(by_id) == len(rows)
+    given = {k for k, r in asked.items() if any(x and x.strip() for x in (r["answers"] or [])[:4] + (r["short_answers"] or [])[:4])}
+    kept = given & by_id.keys()
+    assert len(kept) > 0.5 * len(given) and len(by_id) > len(kept)
+    assert all(by_id[k].selected_ans in (asked[k]["answers"] or []) + (asked[k]["short_answers"] or []) for k in kept)
+    used = defaultdict(int)
+    for r in rows:
+        used[r.article_id] += r.use_question
+    assert used and max(used.values()) <= 35 and sum(used.values()) > 0
+
+
+def test_labels_of_real_ids(spark, data):
+    from loomqa.llm import queries as Q
+
+    ids = {r.doc_id: r.ids for r in Q.p7_ids(spark, data).collect()}
+    got = {r.doc_id: r.label_ids for r in Q.x16_document_labels(spark, data, 8).collect()}
+    assert spark.range(1).select(pipeline.labels(F.array(F.lit(0), F.lit(5)), 3, pad=-1).alias("l")).first().l == [0, 5, -100]
+    assert got == {k: (v + [-100] * 8)[:8] for k, v in ids.items()}
