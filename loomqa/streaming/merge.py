@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomqa.operators.kb import merged_relations
+from loomqa.operators.kb import merged_relations, read_records
 
 SPAN_SCHEMA = "rel_id long, head string, type string, tail string, record string, url string, span_start int, span_end int, seen_at timestamp, ingested_at timestamp"
 KEYS = ["head", "type", "tail", "url", "span_start", "span_end"]
@@ -16,19 +16,15 @@ def read_spans(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
     return spark.readStream.schema(SPAN_SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def new_spans(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
-    """Each span once, as long as copies come within ``lateness`` by seen_at; state older than that is dropped."""
-    return stream.withWatermark("seen_at", lateness).dropDuplicatesWithinWatermark(KEYS)
-
-
-def start_merge(stream: DataFrame, store: str, checkpoint: str, lateness: str = "30 days") -> StreamingQuery:
-    """Append each batch's new spans to a table of spans, one folder a batch, so that a batch that is
-    run again replaces what it wrote. :func:`merged` reads the base out of it."""
+def start_merge(stream: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Append each batch's distinct spans, of any age, to a table of spans, one folder a batch, so that a
+    batch that is run again replaces what it wrote. :func:`merged` reads the base out of it and takes each
+    span once, so copies in several batches need no state here."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.select(*KEYS).distinct().write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        read_records(batch).select(*KEYS).distinct().write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
-    return new_spans(stream, lateness).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def merged(spark: SparkSession, store: str) -> DataFrame:
