@@ -86,7 +86,7 @@ def encoded_sets(df: DataFrame, key: str, texts: list[str], n: int, frequent: di
             for s in _sets(n, batch):
                 low = sorted(code[w][0] for w in s if w in code)
                 rare = sorted({_rare(w) for w in s if w not in code})
-                enc.append(struct.pack(f"<H{len(rare)}Q{len(low)}H", len(rare), *rare, *low) if s else None)
+                enc.append(struct.pack(f"<I{len(rare)}Q{len(low)}H", len(rare), *rare, *low) if s else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(enc, pa.binary())], names=["key", "enc"])
 
     return df.select(F.col(key).alias("key"), *texts).mapInArrow(run, "key long, enc binary").where("enc is not null")
@@ -105,11 +105,11 @@ _LAYOUTS: dict[tuple[int, int], struct.Struct] = {}
 
 def decode_set(enc: bytes) -> tuple[int, ...]:
     """The elements of an encoded set in the global order."""
-    key = (enc[0] | enc[1] << 8, len(enc))
+    key = (int.from_bytes(enc[:4], "little"), len(enc))
     layout = _LAYOUTS.get(key)
     if layout is None:
         r = key[0]
-        layout = _LAYOUTS[key] = struct.Struct(f"<2x{r}Q{(key[1] - 2 - 8 * r) // 2}H")
+        layout = _LAYOUTS[key] = struct.Struct(f"<4x{r}Q{(key[1] - 4 - 8 * r) // 2}H")
     return layout.unpack(enc)
 
 
@@ -279,12 +279,12 @@ def _filed(sets: DataFrame, t: float, split: set[int], most: int) -> DataFrame:
             ps, rec, meta, rest = [], [], [], []
             for record, enc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = decode_set(enc)
-                n, r = len(tokens), struct.unpack_from("<H", enc)[0]
+                n, r = len(tokens), struct.unpack_from("<I", enc)[0]
                 for p, depth, at in paths(tokens, t, held.value, most):
                     ps.append(p)
                     rec.append(record)
                     meta.append(n * 16 + depth)
-                    rest.append(struct.pack("<H", max(0, r - at)) + (enc[2 + 8 * at :] if at < r else enc[2 + 8 * r + 2 * (at - r) :]))
+                    rest.append(struct.pack("<I", max(0, r - at)) + (enc[4 + 8 * at :] if at < r else enc[4 + 8 * r + 2 * (at - r) :]))
             yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int64()), pa.array(rec, pa.int64()), pa.array(meta, pa.int32()), pa.array(rest, pa.binary())], names=["path", "record", "meta", "rest"])
 
     return sets.select("record", "enc").mapInArrow(run, schema)
