@@ -81,9 +81,12 @@ def full_report_blocks(text: Column) -> Column:
 
 
 def without_text_lines(text: Column) -> Column:
-    """A report without its ``TEXT:`` lines and without sections whose last two lines are empty lists."""
+    """A report without its ``TEXT:`` lines and without sections whose last two lines are empty lists.
+
+    A section starts at a line that starts with ``section``; lines before the first are one too."""
     lines = F.filter(F.split(text, "\n"), lambda x: ~F.startswith(x, F.lit("TEXT:")))
-    return F.array_join(lines, "\n")
+    sections = F.split(F.array_join(lines, "\n"), "\nsection")
+    return F.array_join(F.filter(sections, lambda s: ~s.rlike(r"(?:^|\n)[^\S\n]*\[\][^\S\n]*\n[^\S\n]*\[\][^\S\n]*\z")), "\nsection")
 
 
 def wiki_sections(text: Column) -> Column:
