@@ -35,3 +35,39 @@ def test_one_group_with_nearly_all_rows(spark):
 
 def test_empty(spark):
     assert top_n(spark.createDataFrame([], SCHEMA), "article", "chunk", "qid", "score", "ppl").count() == 0
+
+
+def test_the_order_of_repeated_items_makes_no_difference(spark):
+    rows = [(1, 0, 7, 0.2, 1.0), (1, 0, 7, 0.9, 1.0), (1, 0, 8, 0.5, 1.0), (1, 0, 9, 0.4, None), (1, 0, 9, 0.4, 2.0)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "article long, chunk long, qid long, score double, ppl double").coalesce(1)
+        assert [(r.item, r.score, r.tie) for r in top_n(df, "article", "chunk", "qid", "score", "ppl", 3).orderBy("rnk").collect()] == [(7, 0.9, 1.0), (8, 0.5, 1.0), (9, 0.4, 2.0)]
+
+
+def test_a_task_with_many_groups_holds_few_heaps(monkeypatch):
+    """600,000 groups in one task: no more rows than the bound, and a batch, are held at once."""
+    import pyarrow as pa
+    from loomqa.llm import topn
+
+    live = [0, 0]
+
+    class Counted(topn.BoundedHeap):
+        __slots__ = ()
+
+        def __init__(self, n):
+            super().__init__(n)
+            live[0] += 1
+            live[1] = max(live)
+
+        def __del__(self):
+            live[0] -= 1
+
+    monkeypatch.setattr(topn, "BoundedHeap", Counted)
+    size = 10_000
+    batches = [topn._batch([(g, 0, g, 1.0, 1.0) for g in range(k * size, (k + 1) * size)], 5) for k in range(60)]
+    assert sum(b.num_rows for b in topn._combine(iter(batches), 3)) == 600_000
+    assert live[1] <= topn.MOST_HELD + size
+    live[1] = live[0]
+    out = list(topn._merge(iter(batches), 3))
+    assert sum(b.num_rows for b in out) == 600_000 and max(b.num_rows for b in out) <= topn.MOST_OUT + 3 and live[1] <= live[0] + 3
+    assert pa.Table.from_batches(out)["rnk"].to_pylist() == [1] * 600_000
