@@ -40,7 +40,7 @@ def clean_question(c: Column) -> Column:
 
 def clean_answer(c: Column) -> Column:
     """Without a leading option letter and a closing "The final answer is (a)."."""
-    return strip(sub(sub(strip(c), r"^(?:\([a-zA-Z]\)|[a-zA-Z]\))"), r"[Tt]he final answer(?:| is: |s are:| is) ?\([A-Za-z]\)\.?$|[Tt]he final answer: ?\([A-Za-z]\)\.?$"))
+    return strip(sub(sub(strip(c), r"^(?:\([a-zA-Z]\)|[a-zA-Z]\))"), r"[Tt]he final answer(?::| is: |s are:| is) ?\([A-Za-z]\)\.?$"))
 
 
 def normalize_answer(c: Column) -> Column:
@@ -223,3 +223,32 @@ def replace_abbreviations(c: Column, pairs: list[tuple[str, str]], target: str =
         return sub(t, word, safe(form))
 
     return functools.reduce(one, dict(pairs).items(), c)
+
+
+def score_prompt(question: Column, gold: Column, predicted: Column, context: Column) -> Column:
+    """The scorer's input, of normalised texts: question <q> gold answer <r> predicted answer <c> context."""
+    return F.concat(normalize_answer(question), F.lit(" <q> "), normalize_answer(gold), F.lit(" <r> "), normalize_answer(predicted), F.lit(" <c> "), normalize_answer(context))
+
+
+def perplexity(log_likelihood: Column, text: Column) -> Column:
+    """exp of the log-likelihood by the text's words, of which an empty text counts one."""
+    return F.exp(log_likelihood / F.greatest(word_count(text), F.lit(1)))
+
+
+def padded_together(a: Column, b: Column, least: int = 5) -> tuple[Column, Column]:
+    """Both lists with as many empty texts after them as the shorter one needs to have ``least`` entries; null is empty."""
+    none = F.array().cast("array<string>")
+    x, y = F.coalesce(a, none), F.coalesce(b, none)
+    more = F.greatest(least - F.size(x), least - F.size(y), F.lit(0))
+    return F.concat(x, F.array_repeat(F.lit(""), more)), F.concat(y, F.array_repeat(F.lit(""), more))
+
+
+def kept_phrase_question(sentence: Column, phrase: Column, question: Column, answer: Column) -> Column:
+    """Whether a question asked of a phrase of a sentence is kept: the sentence has 10 to 45 words and the
+    phrase stands in no bracket of it, the question ends with its mark and does not give the
+    phrase away, the answer holds the phrase or the other way round, and the longer of
+    both has three words or more, hyphens parting words."""
+    n = word_count(sentence)
+    final = words(F.replace(longer(phrase, answer), F.lit("-"), F.lit(" ")))
+    fit = F.contains(phrase, answer) | F.contains(answer, phrase)
+    return n.between(10, 45) & ~in_brackets(phrase, sentence) & question.endswith("?") & ~F.contains(F.lower(question), F.lower(phrase)) & (answer != "") & fit & (F.size(final) >= 3)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomqa.runtime import shuffle_width
+
 #: Pronouns of several things.
 PLURAL_PRONOUNS = ("they", "them", "their", "theirs", "themselves", "these", "those", "we", "us", "our", "ours", "ourselves")
 
@@ -77,3 +82,43 @@ def relevant_sentences(df: DataFrame, doc: str, low: int, high: int, n: int) ->
     ``df`` has doc, sentence_n, tokens and rank."""
     w = Window.partitionBy(doc).orderBy(F.desc("rank"), "sentence_n")
     return df.where(F.col("tokens").between(low, high)).withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= n)
+
+
+def chosen_phrases(df: DataFrame, doc: str, low: int, high: int, n: int, sparse: bool = True, labels: tuple[str, ...] = ("NP",)) -> DataFrame:
+    """doc, sentence_n, phrase, rnk: phrases to ask about, taken sentence by sentence.
+
+    ``df`` has doc, sentence_n, tokens, rank, text and ents (array<struct<phrase, label,
+    rank>>). Sentences with ``low`` to ``high`` tokens go by rank descending; of each, entities
+    with rank 0, another label, a phrase taken before or one in brackets are skipped; one a
+    sentence is taken if ``sparse``, and a document ends at ``n``. What was taken decides on what
+    follows, so a document streams through one task in order, which holds at most ``n`` phrases."""
+    slim = df.where(F.col("tokens").between(low, high) & F.col(doc).isNotNull() & F.col("rank").isNotNull())
+    from loomqa.functions.text import in_brackets
+
+    free = F.filter("ents", lambda e: (e["rank"] != 0) & e.label.isin(*labels) & e.phrase.isNotNull() & ~F.coalesce(in_brackets(e.phrase, F.col("text")), F.lit(False)))
+    slim = slim.select(F.col(doc).alias("doc"), "sentence_n", "rank", F.transform(free, lambda e: e.phrase).alias("phrases"))
+    kinds = [slim.schema[c].dataType.simpleString() for c in ("doc", "sentence_n")]
+    ordered = slim.repartition(shuffle_width(df.sparkSession), "doc").sortWithinPartitions("doc", F.desc("rank"), "sentence_n")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, first, taken = None, True, []
+        for batch in batches:
+            at, phrases, places = [], [], []
+            for i, (d, ps) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())):
+                if first or d != current:
+                    current, first, taken = d, False, []
+                for p in ps or ():
+                    if len(taken) >= n:
+                        break
+                    if p not in taken:
+                        taken.append(p)
+                        at.append(i)
+                        phrases.append(p)
+                        places.append(len(taken))
+                        if sparse:
+                            break
+            rows = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(phrases, pa.string()), pa.array(places, pa.int32())], names=["doc", "sentence_n", "phrase", "rnk"])
+
+    out = ordered.mapInArrow(walk, f"doc {kinds[0]}, sentence_n {kinds[1]}, phrase string, rnk int")
+    return out.withColumnRenamed("doc", doc)

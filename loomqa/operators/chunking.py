@@ -96,7 +96,7 @@ def answer_context(context: Column, answer: Column, around: int = 2) -> Column:
     index = F.array_position(F.transform(sents, lambda s: F.contains(s, F.lit("@ANS_BEGIN@"))), True).cast("int") - 1
     first = F.greatest(index - around, F.lit(0))
     shown = F.transform(sents, lambda s, i: F.when(i == index, F.concat(F.lit("@SENT_BEGIN@"), s, F.lit("@SENT_END@"))).otherwise(s))
-    return F.when((at > 0) & (answer != "") & (index >= 0), F.array_join(F.slice(shown, first + 1, index + 2 * around - 1 - first), " ")).otherwise(context)
+    return F.when((at > 0) & (answer != "") & (index >= 0), F.array_join(F.slice(shown, first + 1, index + around + 1 - first), " ")).otherwise(context)
 
 
 def nearest_prefix(sents: Column, target: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import calendar
+import re
 import zoneinfo
 from collections.abc import Iterator
 
@@ -26,6 +27,9 @@ def _zones() -> tuple[str, ...]:
     return tuple(sorted(short | {"UTC", "GMT", "EST", "MST", "HST", "CET", "MET", "EET", "WET"}))
 
 
+_ZONES = frozenset(_zones())
+
+
 def tokens(c: Column) -> Column:
     """Runs of digits, ASCII letters, punctuation or white space; any other character by itself."""
     return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
@@ -137,15 +141,60 @@ def inferred_formats(df: DataFrame, key: str, example: str, rules: tuple[dict, .
     return x.select(key, to_format("tags").alias("format"))
 
 
+def most_restrictive(classes: Column) -> Column:
+    """The element of an array that stands first in the order of restriction; null for none."""
+    rank = F.create_map(*[x for i, d in enumerate(ORDER) for x in (F.lit(d), F.lit(i))])
+    return F.array_min(F.transform(classes, lambda c: F.struct(F.element_at(rank, c).alias("rank"), c.alias("c")))).c
+
+
+def elements_of(token: Column) -> Column:
+    """The elements a token can be, the most restrictive first."""
+    return F.filter(F.array(*[F.when(m, F.lit(d)) for d, m in matches(token).items()]), lambda d: d.isNotNull())
+
+
+def match_shares(df: DataFrame, key: str, token: str) -> DataFrame:
+    """key, element, share: the share of a key's tokens that can be each element. Tokens are counted before they
+    are matched, and the counts combined before the shuffle."""
+    counted = df.where(F.col(token).isNotNull()).groupBy(key, token).agg(F.count(F.lit(1)).alias("c")).withColumn("can", elements_of(F.col(token)))
+    shares = counted.groupBy(key).agg(*[(F.sum(F.when(F.array_contains("can", d), F.col("c")).otherwise(0)) / F.sum("c")).alias(f"share{i}") for i, d in enumerate(ORDER)])
+    return shares.select(key, F.inline(F.array(*[F.struct(F.lit(d).alias("element"), F.col(f"share{i}").alias("share")) for i, d in enumerate(ORDER)])))
+
+
+def text_format(text: str | None) -> str | None:
+    """The format of a single text: each token's most restrictive element, or the token itself, rewritten by the rules."""
+    if text is None:
+        return None
+    zones = _ZONES
+
+    def tag(t: str) -> str:
+        number = int(t) if t.isascii() and t.isdigit() and len(t) <= 9 else None
+        for d in ORDER:
+            if d in NUMBERS and number is not None and NUMBERS[d][0] <= number <= NUMBERS[d][1]:
+                return d
+            if d in ("%Y", "%z") and number is not None and len(t) == 4 or d in WORDS and t in WORDS[d] or d == "%Z" and t in zones:
+                return d
+        return " " + t
+
+    return format_of([tag(t) for t in re.findall(TOKEN, text, re.S)])
+
+
 def same_format(df: DataFrame, key: str, answer: str, candidates: str, kind: str) -> DataFrame:
-    """key and the candidates of the answer's format, for answers of kind DATE; all of them for kind TIME."""
-    one = df.select(key, F.col(kind).alias("kind"), F.posexplode(F.concat(F.array(answer), F.col(candidates))).alias("pos", "text"))
-    one = one.withColumn("id", F.concat_ws(":", F.col(key).cast("string"), "pos"))
-    f = inferred_formats(one.where("kind = 'DATE'"), "id", "text")
-    x = one.join(f, "id", "left")
-    ref = x.where("pos = 0").select(key, F.col("format").alias("ref"))
-    kept = x.where("pos > 0").join(ref, key).where("kind = 'TIME' or (kind = 'DATE' and format = ref)")
-    return kept.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda p: p.text).alias("kept"))
+    """key, kept: the candidates of the answer's format, for answers of kind DATE; all of them for kind TIME. Rows of
+    another kind or without an answer are left out. One pass without a shuffle."""
+    @F.pandas_udf("array<string>")
+    def kept(pairs: pd.DataFrame) -> pd.Series:
+        memo: dict[str, str | None] = {}
+
+        def of(t):
+            if t not in memo:
+                memo[t] = text_format(t)
+            return memo[t]
+
+        rows = zip(pairs["answer"], pairs["candidates"], pairs["kind"])
+        return pd.Series([[c for c in (cs if cs is not None else ()) if c is not None and (k == "TIME" or of(c) == of(a))] for a, cs, k in rows], dtype=object)
+
+    x = df.where(F.col(kind).isin("DATE", "TIME") & F.col(answer).isNotNull())
+    return x.select(key, kept(F.struct(F.col(answer).alias("answer"), F.col(candidates).alias("candidates"), F.col(kind).alias("kind"))).alias("kept"))
 
 
 #: Strptime directive -> Spark date-time pattern; weekdays are not parsed.

@@ -56,6 +56,12 @@ def merged_relations(spans: DataFrame) -> DataFrame:
     return by_url.groupBy("head", "type", "tail").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("url", "spans")))).alias("meta"))
 
 
+def new_spans(known: DataFrame, more: DataFrame) -> DataFrame:
+    """Distinct complete spans of ``more`` that ``known`` does not hold: what appending adds."""
+    names = ["head", "type", "tail", "url", "span_start", "span_end"]
+    return more.select(*names).dropna().distinct().join(known.select(*names).dropna().distinct(), names, "left_anti")
+
+
 def last_entities(entities: DataFrame) -> DataFrame:
     """title, url, summary: the last written of each title."""
     return entities.groupBy("title").agg(F.max_by(F.struct("url", "summary"), F.struct("seq", "url", "summary")).alias("e")).select("title", "e.url", "e.summary")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomqa.functions.similarity import cosine, let
 from loomqa.functions.constants import PUNCTUATION, STOP_WORDS
+from loomqa.functions.text import strip
 from loomqa.runtime import materialize, shuffle_width
 
 
@@ -184,3 +185,35 @@ def cascade(*strategies: Column) -> Column:
     """The first strategy's result unless it is null; after it the first that found anything."""
     head, *rest = strategies
     return F.coalesce(head, *[F.when(F.size(s) > 0, s) for s in rest], F.array().cast("array<string>"))
+
+
+def ranked_options(options: Column) -> Column:
+    """Texts of array<struct<text, score>> that are not blank, the highest score first, the first on a tie; null scores last."""
+    kept = F.filter(options, lambda o: F.coalesce(strip(o.text), F.lit("")) != "")
+    placed = F.transform(kept, lambda o, i: F.struct(o.score.isNull().alias("none"), (-o.score).alias("s"), i.alias("i"), o.text.alias("text")))
+    return F.transform(F.array_sort(placed), lambda o: o.text)
+
+
+def by_perplexity(outputs: Column) -> Column:
+    """Texts of array<struct<text, ppl>> by perplexity ascending, the first on a tie: the score stays with its text."""
+    placed = F.transform(outputs, lambda o, i: F.struct(o.ppl.alias("ppl"), i.alias("i"), o.text.alias("text")))
+    return F.transform(F.array_sort(placed), lambda o: o.text)
+
+
+def multiset_intersection(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n: the keys that both tables hold, each as often as both do."""
+    count = lambda df, n: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    return count(a, "__a").join(count(b, "__b"), keys).select(*keys, F.least("__a", "__b").alias("n"))
+
+
+def islands(df: DataFrame, key: str, order: str) -> DataFrame:
+    """key, first, last, n of each run of rows with the same key that follow one another in the order, which must be total.
+
+    A row's place in the table less its place among the rows of its key is the same all
+    along a run. Both places come by ranges, so no task sees the whole table or a whole key."""
+    from loomqa.operators.running import numbered
+
+    slim = df.select(key, order).where(F.col(key).isNotNull() & F.col(order).isNotNull())
+    x = numbered(numbered(slim, [], [order], "__all"), [key], [order], "__own")
+    runs = x.groupBy(key, (F.col("__all") - F.col("__own")).alias("__run"))
+    return runs.agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("__run")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("nested_queries", "text_queries", "eval_queries", "kb_queries", "selection_queries", "more_queries", "annotation_queries", "source_queries")
+MODULES = ("nested_queries", "text_queries", "eval_queries", "kb_queries", "selection_queries", "more_queries", "annotation_queries", "stage_queries", "source_queries")
 
 
 def load() -> None:

@@ -28,35 +28,8 @@ def a24_sentence_distance(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(A.sentence_distance(ranks, F.transform("embedding", lambda x: x > 0)), 6).alias("distance"))
 
 
-@query(Q + f"select question_id, upper(t[1]) || t[2:] sentence from (select question_id, array_to_string(list_concat(['The authors'], ({words('selected_ans')})[2:]), ' ') t from q where selected_ans is not null and len({words('selected_ans')}) > 0 and not list_contains({items(['his', 'her', 'hers', 'its', 'their', 'theirs', 'my', 'our', 'your'])}, lower(({words('selected_ans')})[1])))")
-def f18_resolved_sentence(spark: SparkSession, d: str) -> DataFrame:
-    q = questions(spark, d, "selected_ans").where(F.col("selected_ans").isNotNull()).withColumn("w", T.words(F.col("selected_ans"))).where("size(w) > 0")
-    q = q.where(~F.lower(F.col("w")[0]).isin("his", "her", "hers", "its", "their", "theirs", "my", "our", "your"))
-    return q.select("question_id", A.resolved_sentence(F.col("w"), F.lit(0), F.lit("The authors")).alias("sentence"))
 
 
-@query(Q + ", m as (select question_id, list_filter([selected_ans, generated_selected_ans, details], lambda x: x is not null) m from q) select question_id, list_sort(list_transform(m, lambda x: {'n': length(x), 't': x}))[1].n shortest from m")
-def t16_cluster_head(spark: SparkSession, d: str) -> DataFrame:
-    mentions = F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("text"), F.lit(False).alias("plural"))) for c in ("selected_ans", "generated_selected_ans", "details")]), lambda m: m.isNotNull())
-    return questions(spark, d, "selected_ans", "generated_selected_ans", "details").select("question_id", F.char_length(A.cluster_head(mentions, F.lit("it"))).cast("long").alias("shortest"))
-
-
-_PAIRS = "p as (select question_id answer_id, selected_ans answer, details al, unnest(answers) text, generate_subscripts(answers, 1) - 1 pos, details l, rquge / 6 score from q where selected_ans is not null)"
-
-
-@query(Q + f", {_PAIRS}, f as (select * from (select *, row_number() over (partition by answer_id, lower(text) order by pos) k from p where al = l and lower(text) <> lower(answer) and score > 0.3 and score < 0.93 and not isnan(score)) where k = 1) select answer_id, text, cast(rnk as integer) rnk from (select *, row_number() over (partition by answer_id order by score desc, pos) rnk from f) where rnk <= 5")
-def j06_similar_entities(spark: SparkSession, d: str) -> DataFrame:
-    q = questions(spark, d, "selected_ans", "details", "answers", "rquge").where("selected_ans is not null and not isnan(rquge)")
-    p = q.select(F.col("question_id").alias("answer_id"), F.col("selected_ans").alias("answer"), F.col("details").alias("answer_label"), F.col("details").alias("label"), (F.col("rquge") / 6).alias("score"), F.posexplode("answers").alias("pos", "text"))
-    return A.similar_entities(p, 5, 0.3, 0.93).select("answer_id", "text", "rnk")
-
-
-@query("with n as (select distinct head term, type sense, tail neighbour, 1.0 / (1 + length(tail)) score from relation_spans where head is not null and type is not null and tail is not null), t as (select distinct term, sense from n) select term, sense, neighbour, cast(rnk as integer) rnk from (select t.term, t.sense, neighbour, row_number() over (partition by t.term, t.sense order by score desc, neighbour) rnk from t join n on t.term = n.term and t.sense = n.sense) where rnk <= 3")
-def x08_sense_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    r = read_records(table(spark, d, "relation_spans")).where("head is not null and type is not null and tail is not null")
-    n = r.select(F.col("head").alias("term"), F.col("type").alias("sense"), F.col("tail").alias("neighbour"), (1.0 / (1 + F.char_length("tail"))).alias("score"), F.lit(True).alias("is_best_sense")).distinct()
-    return A.sense_neighbours(n.select("term", "sense").distinct(), n, 3).select("term", "sense", "neighbour", "rnk")
-
 
 @query(Q + f"select question_id, list_transform(['7', '8'], lambda v: array_to_string(list_transform(regexp_split_to_array(selected_ans, '\\s+'), lambda w: case when w = 'the' then v else w end), ' ')) variants from q where selected_ans is not null")
 def x_number_variants(spark: SparkSession, d: str) -> DataFrame:

@@ -107,10 +107,3 @@ def a15_length_shares(spark: SparkSession, d: str) -> DataFrame:
 def a16_score_histogram(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "questions_df").select("question_id", "rquge").dropDuplicates(["question_id"])
     return q.where("rquge is not null and not isnan(rquge)").groupBy(F.round("rquge", 1).alias("score")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(Q + "select metric_exact_match, n from (select cast(selected_ans = generated_selected_ans as integer) metric_exact_match, count(*) n from q group by 1)")
-def prj18_prefixed_metrics(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "questions_df").select("question_id", "selected_ans", "generated_selected_ans").dropDuplicates(["question_id"])
-    one = q.select((F.col("selected_ans") == F.col("generated_selected_ans")).cast("int").alias("exact_match"))
-    return E.prefixed(one, "metric").groupBy("metric_exact_match").agg(F.count(F.lit(1)).alias("n"))

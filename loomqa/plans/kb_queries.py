@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomqa.operators import kb as K, nested
 from loomqa.plans.registry import query
-from loomqa.plans.sqltext import sub
+from loomqa.plans.sqltext import RECORDS, sub
 from loomqa.runtime import table
 
-_SPANS = "select distinct head, type, tail, url, span_start, span_end from relation_spans where head is not null and type is not null and tail is not null and url is not null and span_start is not null and span_end is not null"
+_SPANS = f"select distinct head, type, tail, url, span_start, span_end from {RECORDS} where head is not null and type is not null and tail is not null and url is not null and span_start is not null and span_end is not null"
 _KBR = "(select kb_id, unnest(relations) r from kb)"
 _W = lambda x: sub(sub(x, r"\s+", " "), "^ +| +$")
 
@@ -20,9 +20,9 @@ def a11_u05_merged_relations(spark: SparkSession, d: str) -> DataFrame:
     return m.select("head", "type", "tail", F.explode("meta").alias("url", "s")).select("head", "type", "tail", "url", F.array_join(F.transform("s", lambda x: F.array_join(x.cast("array<string>"), "-")), " ").alias("spans"))
 
 
-@query("select e.key title, arg_max(e.value.url, kb_id) url, arg_max(e.value.summary, kb_id) summary from (select kb_id, unnest(map_entries(entities)) e from kb) where e.value.url is not null and e.value.summary is not null group by 1")
+@query("select title, url, summary from (select e.key title, e.value.url url, e.value.summary summary, row_number() over (partition by e.key order by kb_id desc, e.value.url desc nulls last, e.value.summary desc nulls last) k from (select kb_id, unnest(map_entries(entities)) e from kb)) where k = 1")
 def a12_last_entities(spark: SparkSession, d: str) -> DataFrame:
-    e = nested.kb_entities(table(spark, d, "kb")).where("url is not null and summary is not null").withColumn("seq", F.col("record_id"))
+    e = nested.kb_entities(table(spark, d, "kb")).withColumn("seq", F.col("record_id"))
     return K.last_entities(e)
 
 
@@ -68,16 +68,25 @@ def w04_token_windows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("n_chars > 0").select("doc_id", F.inline(token_windows(F.col("n_chars"))))
 
 
-@query(f"with {_WIN}, p as (select doc_id, i, v, unnest(range(3)) k from o) select doc_id, 3 * i + k prediction_n, cast(i as integer) window_n, cast(i * (128 - v) as integer) \"start\" from p")
+_PARSED = f"""with t as (select doc_id, {_MARKED} t from documents),
+p as (select doc_id, i, unnest(string_split(part, ' <subj> ')[2:]) piece, generate_subscripts(string_split(part, ' <subj> ')[2:], 1) j, string_split(part, ' <subj> ')[1] h
+      from (select doc_id, unnest(string_split(t, ' <triplet> ')[2:]) part, generate_subscripts(string_split(t, ' <triplet> ')[2:], 1) i from t)),
+r as (select doc_id, i, j, {_W('h')} head, {_W("string_split(piece, ' <obj> ')[-1]")} as type, {_W("case when contains(piece, ' <obj> ') then string_split(piece, ' <obj> ')[1] else '' end")} tail from p),
+predicted as (select doc_id, head, type, tail, row_number() over (partition by doc_id order by i, j) - 1 prediction_n from r where head <> '' and type <> '' and tail <> '')"""
+
+
+@query(f"{_PARSED}, {_WIN} select doc_id, prediction_n, head, type, tail, cast(i as integer) window_n, cast(i * (128 - v) as integer) \"start\" from predicted join o using (doc_id) where i = prediction_n // 3")
 def g02_attributed_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """The triplets of a document's text as its predictions in order, each with the window it belongs to."""
     from loomqa.operators.chunking import token_windows
 
-    windows = table(spark, d, "documents").where("n_chars > 0").select("doc_id", F.inline(token_windows(F.col("n_chars"))))
-    made = windows.select("doc_id", F.explode(F.sequence(F.col("window_n").cast("long") * 3, F.col("window_n").cast("long") * 3 + 2)).alias("prediction_n"))
-    return K.attributed(made, windows).select("doc_id", "prediction_n", "window_n", "start")
+    docs = table(spark, d, "documents")
+    windows = docs.where("n_chars > 0").select("doc_id", F.inline(token_windows(F.col("n_chars"))))
+    made = docs.select("doc_id", F.posexplode(K.triplets(F.col("text"))).alias("prediction_n", "t")).select("doc_id", F.col("prediction_n").cast("long").alias("prediction_n"), "t.*")
+    return K.attributed(made, windows).select("doc_id", "prediction_n", "head", "type", "tail", "window_n", "start")
 
 
-_EDGES = "(select distinct head src, tail dst, type label from relation_spans where head is not null and tail is not null and type is not null)"
+_EDGES = f"(select distinct head src, tail dst, type label from {RECORDS} where head is not null and tail is not null and type is not null)"
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -94,14 +103,24 @@ def g04_vertices(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
-@query("""
-with e as (select n_name a, r_name b from nation join region on n_regionkey = r_regionkey), s as (select a, b from e union select b, a from e),
-x as (select min(n_name) node from nation), one as (select b from s, x where a = node), two as (select s.b from s join one on s.a = one.b, x where s.b <> node)
+@query(f"""
+with e as (select src a, dst b from {_EDGES}), s as (select a, b from e where a <> b union select b, a from e where a <> b),
+x as (select min(src) node from {_EDGES}), one as (select distinct b from s, x where a = node), two as (select distinct s.b from s join one on s.a = one.b, x where s.b <> node)
 select b node, 1 distance from one union select b, 2 from two where b not in (select b from one)""")
 def g05_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    edges = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("src"), F.col("r_name").alias("dst"))
-    return K.neighbourhood(edges, n.agg(F.min("n_name")).first()[0], 2)
+    """The neighbourhood of the graph's first source, up to two steps."""
+    edges = _edges(spark, d)
+    return K.neighbourhood(edges, edges.agg(F.min("src")).first()[0], 2)
+
+
+_KB_SPANS = f"select r.head, r.type, r.tail, m.key url, s[1] span_start, s[2] span_end from (select r, m, unnest(m.value.spans) s from (select r, unnest(map_entries(r.meta)) m from {_KBR})) where r.head is not null and r.type is not null and r.tail is not null and s[1] is not null and s[2] is not null"
+
+
+@query(f"{_SPANS} except {_KB_SPANS}")
+def u06_new_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The spans that appending relation_spans to the base adds."""
+    own = nested.kb_spans(table(spark, d, "kb")).select("head", "type", "tail", F.col("item_key").alias("url"), F.get("span", 0).alias("span_start"), F.get("span", 1).alias("span_end"))
+    return K.new_spans(own, K.read_records(table(spark, d, "relation_spans")))
 
 
 @query(f"select src node from {_EDGES} where label = 'part of' union select dst from {_EDGES} where label = 'part of'")

@@ -14,47 +14,6 @@ from loomqa.runtime import materialize, table
 from loomqa.functions.constants import STOP_WORDS
 
 
-@query(Q + "select question_id from q where question is not null and selected_ans is not null and ends_with(question, '?') and not contains(lower(question), lower(selected_ans)) and (contains(generated_selected_ans, selected_ans) or contains(selected_ans, generated_selected_ans)) and len(string_split(replace(selected_ans, '-', ' '), ' ')) >= 3")
-def prj14_np_cascade(spark: SparkSession, d: str) -> DataFrame:
-    q = questions(spark, d, "question", "selected_ans", "generated_selected_ans")
-    overlap = F.contains("generated_selected_ans", "selected_ans") | F.contains("selected_ans", "generated_selected_ans")
-    long_enough = F.size(F.split(F.replace("selected_ans", F.lit("-"), F.lit(" ")), " ")) >= 3
-    return q.where(F.col("question").endswith("?") & ~F.contains(F.lower("question"), F.lower("selected_ans")) & overlap & long_enough).select("question_id")
-
-
-_BASE = "(select embedding from embeddings where vec_id = (select min(vec_id) from embeddings))"
-
-
-@query(f"with b as {_BASE}, x as (select vec_id, label, {dot('e.embedding', 'b.embedding')} sim from embeddings e, b) select label, vec_id, round(sim, 3) sim from x where round(sim, 6) > 0.1")
-def prj22_t15_similar_above(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors above a similarity to one given vector, the smallest id's."""
-    from loomqa.functions.similarity import dot as column_dot
-
-    e = table(spark, d, "embeddings")
-    base = e.orderBy("vec_id").select("embedding").first()
-    given = F.array(*[F.lit(float(x)) for x in base[0]]) if base else F.array().cast("array<double>")
-    x = e.withColumn("sim", column_dot(F.col("embedding"), given)).where(F.round("sim", 6) > 0.1)
-    return x.select("label", "vec_id", F.round("sim", 3).alias("sim"))
-
-
-@query(Q + ", t as (select question_id, list_filter(answers, lambda x: x is not null) a from q) select question_id, list_sort(list_transform(a, lambda x: length(x))) lengths from t")
-def t02_sorted_outputs(spark: SparkSession, d: str) -> DataFrame:
-    """Outputs of a row sorted by a score ascending, here their length; the score stays with its text."""
-    scored = F.transform(F.filter("answers", lambda x: x.isNotNull()), lambda x: F.struct(F.char_length(x).alias("s"), x.alias("x")))
-    return questions(spark, d, "answers").select("question_id", F.transform(F.array_sort(scored), lambda p: p.s.cast("long")).alias("lengths"))
-
-
-@query(Q + ", a as (select question_id, unnest(answers) x from q) select question_id, x as answer, length(x) score from a where x is not null and x <> ''")
-def t08_answer_options(spark: SparkSession, d: str) -> DataFrame:
-    return questions(spark, d, "answers").select("question_id", F.explode("answers").alias("answer")).where("answer is not null and answer <> ''").withColumn("score", F.char_length("answer").cast("long"))
-
-
-@query(Q + ", a as (select question_id, unnest(list_filter(answers, lambda x: x is not null)) x, generate_subscripts(list_filter(answers, lambda x: x is not null), 1) p from q) select question_id, arg_min(x, length(x) * 100 + p) head from a group by 1")
-def t14_t16_shortest(spark: SparkSession, d: str) -> DataFrame:
-    """The candidate lowest by a key, here the shortest answer, the first on a tie."""
-    a = questions(spark, d, "answers").select("question_id", F.posexplode(F.filter("answers", lambda x: x.isNotNull())).alias("p", "x"))
-    return a.groupBy("question_id").agg(F.min_by("x", F.struct(F.char_length("x").alias("n"), "p")).alias("head"))
-
 
 @query(Q + f"select question_id, list_sort(list_distinct(list_intersect({words('lower(question)')}, {words('lower(selected_ans)')}))) shared from q where question is not null and selected_ans is not null")
 def u04_shared_words(spark: SparkSession, d: str) -> DataFrame:
@@ -68,13 +27,6 @@ def u08_without_stop_words(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d, "question").where("question is not null").select("question_id", F.filter(T.words(F.lower("question")), lambda w: ~F.array_contains(stop, w)).alias("rest"))
 
 
-@query("select kb_id, pos, url, len(kept) n from (select kb_id, pos, m.key url, list_filter(list_distinct(m.value.spans), lambda s: s is not null) kept from (select kb_id, pos, unnest(map_entries(r.meta)) m from (select kb_id, unnest(relations) r, generate_subscripts(relations, 1) - 1 pos from kb))) where len(kept) > 0")
-def u06_distinct_spans(spark: SparkSession, d: str) -> DataFrame:
-    from loomqa.operators.nested import kb_spans
-
-    s = kb_spans(table(spark, d, "kb"))
-    return s.groupBy(F.col("record_id").alias("kb_id"), F.col("item_pos").cast("long").alias("pos"), F.col("item_key").alias("url")).agg(F.count_distinct("span").alias("n"))
-
 
 @query("select vec_id, list_transform(list_concat(list_transform(embedding[1:3], lambda x: cast(round(x * 10) as integer)), [0, 0, 0, 0, 0])[1:5], lambda x: case when x = 0 then -100 else x end) label_ids from embeddings")
 def x16_padded_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -82,20 +34,6 @@ def x16_padded_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", pipeline.labels(ids, 5).alias("label_ids"))
 
 
-@query(Q + "select question_id, cast(coalesce(len(list_filter(answers, lambda a: a is not null)), 0) as integer) as n from q")
-def a10_a18_variants(spark: SparkSession, d: str) -> DataFrame:
-    """A score of each of a question's answer variants, four long and four short at most, by a stand-in scorer."""
-    q = questions(spark, d, "text", "question", "answers", "short_answers")
-    return pipeline.variant_scores(q, stand_ins.stand_in_scorer).withColumn("score", F.round("score", 6))
-
-
-@query("select o_orderpriority kind, count(*) n from orders where o_orderpriority is not null group by 1")
-def e09_same_format(spark: SparkSession, d: str) -> DataFrame:
-    """Order dates in the format of their priority's first date: all of them, as all are rendered alike."""
-    o = table(spark, d, "orders").where("o_orderpriority is not null").select(F.col("o_orderpriority").alias("kind"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("example"))
-    f = dates.inferred_formats(o, "kind", "example").where(F.col("format") == "%Y-%m-%d")
-    return o.join(f, "kind").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
 
 @query("select event_type, count(*) n, date_trunc('hour', ts) as \"start\" from events where ts is not null group by all")
 def stream_windowed_counts(spark: SparkSession, d: str) -> DataFrame:

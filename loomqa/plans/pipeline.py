@@ -68,7 +68,7 @@ def generated_questions(sections: DataFrame, generate: Callable[[], Model], budg
     c = chunking.section_chunks(sections, ["article_id", "section_n"], "text", budget).where(chunking.enough_words(F.col("chunk"), least_words))
     out = c.withColumn("out", model_column(generate, "array<struct<text:string,ll:double>>", F.concat(F.lit("generate question: "), "chunk")))
     each = out.select("article_id", "section_n", "chunk_n", F.col("chunk").alias("text"), F.posexplode("out").alias("pos", "o"))
-    each = each.select("article_id", "section_n", "chunk_n", "text", T.clean_question(F.col("o.text")).alias("question"), F.exp(F.col("o.ll") / F.greatest(T.word_count(F.col("o.text")), F.lit(1))).alias("ppl"), "pos")
+    each = each.select("article_id", "section_n", "chunk_n", "text", T.clean_question(F.col("o.text")).alias("question"), T.perplexity(F.col("o.ll"), F.col("o.text")).alias("ppl"), "pos")
     keys = ["article_id", "section_n", "chunk_n", "question"]
     first = each.where("question <> ''").groupBy(*keys).agg(F.min_by(F.struct("text", "ppl"), "pos").alias("r"))
     return first.select(*keys, "r.text", "r.ppl")
@@ -105,6 +105,43 @@ def variant_scores(questions: DataFrame, score: Callable[[], Model]) -> DataFram
     return each.select("question_id", "kind", "pos", "variant", model_column(score, "double", F.col("text"), F.col("question"), F.col("variant")).alias("score"))
 
 
+def causal_distractors(questions: DataFrame, generate: Callable[[], Model], encode: Callable[[], Model], prefix: str = "The answer is not", k: int = 3, top_n: int = 5, diversity: float = 0.7) -> DataFrame:
+    """question_id, distractor, rnk: continuations of a prompt that may stand for wrong answers.
+
+    The prompt is ``prefix`` and the answer's first ``k`` words. ``generate`` yields a
+    model of (prompt, context) to an array of texts that begin with the prompt; the prompt is taken off,
+    the text is cut at the author line, and what holds odd characters, is empty, equals the answer or
+    came before is dropped. The rest is ranked by maximal marginal relevance to the answer,
+    row by row, as a question has few candidates. ``encode`` yields a text encoder."""
+    prompt = F.concat_ws(" ", F.lit(prefix), F.array_join(F.slice(T.words(F.col("selected_ans")), 1, k), " "))
+    x = questions.withColumn("prompt", prompt).withColumn("made", model_column(generate, "array<string>", F.col("prompt"), F.col("text")))
+    bare = F.transform("made", lambda t: T.without_prefix(T.generated_text(t), F.col("prompt")))
+    fit = F.array_distinct(F.filter(bare, lambda t: T.plain_characters(t) & (F.lower(t) != F.lower(F.col("selected_ans")))))
+    each = x.select("question_id", "selected_ans", F.posexplode(fit).alias("pos", "distractor"))
+    vector = lambda c: model_column(encode, "array<double>", c)
+    each = each.withColumns({"v": vector(F.col("distractor")), "a": vector(F.col("selected_ans"))})
+    rows = each.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("pos", "distractor", "v", "a"))).alias("c"))  # a handful a question
+    near = F.transform("c", lambda c: S.dot(c.v, c.a))
+
+    @F.pandas_udf("array<int>")
+    def ranked(vs: pd.Series, near: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def one(v, n):
+            m, n = np.stack([np.asarray(x, dtype="f8") for x in v]), np.asarray(n, dtype="f8")
+            taken = [int(np.argmax(n))]
+            while len(taken) < min(top_n, len(n)):
+                score = (1 - diversity) * n - diversity * (m @ m[taken].T).max(axis=1)
+                score[taken] = -np.inf
+                taken.append(int(np.argmax(score)))
+            return taken
+
+        return pd.Series([one(v, n) for v, n in zip(vs, near)], dtype=object)
+
+    out = rows.select("question_id", "c", ranked(F.transform("c", lambda c: c.v), near).alias("order"))
+    return out.select("question_id", "c", F.posexplode("order").alias("rnk", "at")).select("question_id", F.get("c", F.col("at")).distractor.alias("distractor"), (F.col("rnk") + 1).alias("rnk"))
+
+
 def diversified(questions: DataFrame, encode: Callable[[], Model], score: Callable[[], Model], n: int = 35, least_score: float | None = None) -> DataFrame:
     """Adds rquge and use_question: the best questions of each article, unlike one another.
 

@@ -9,7 +9,7 @@ from loomqa.operators import chunking, dates, select
 from loomqa.operators.running import numbered
 from loomqa.operators.vectors import nearest
 from loomqa.plans.registry import query
-from loomqa.plans.sqltext import Q, dot, norm
+from loomqa.plans.sqltext import Q, dot, sentences
 from loomqa.plans.text_queries import questions
 from loomqa.runtime import table
 from loomqa.sources import readers, writers
@@ -98,7 +98,10 @@ def t01_t10_ranked_questions(spark: SparkSession, d: str) -> DataFrame:
     return numbered(q, ["article_id"], ["neg", "question_id"]).select("question_id", "article_id", "rnk")
 
 
-@query(Q + "select article_id, section_n, question_id, cast(row_number() over (partition by article_id, section_n order by round(section_n_chunk * 10), rquge desc, question_id) as integer) rnk from q where use_question and section_n_chunk is not null and not isnan(section_n_chunk) and rquge is not null and not isnan(rquge)")
+_RANKED = "coalesce(use_question and section_n_chunk is not null and not isnan(section_n_chunk) and rquge is not null and not isnan(rquge), false)"
+
+
+@query(Q + f", r as (select article_id, section_n, question_id, cast(row_number() over (partition by article_id, section_n order by round(section_n_chunk * 10), rquge desc, question_id) as integer) rnk from q where {_RANKED}), a as (select article_id, unnest(range(0, max(section_n) + 1)) section_n from questions_df group by 1) select * from r union all select article_id, cast(section_n as integer), null, null from a where not exists (select 1 from r where r.article_id = a.article_id and r.section_n = a.section_n)")
 def a09_a17_nested_result(spark: SparkSession, d: str) -> DataFrame:
     """The nested result flat, one row a question with its place: a section of any size is never one row.
     A section of 0 to an article's last that has no such question gives one row with null question_id and rnk."""
@@ -116,11 +119,6 @@ def a19_u01_distinct_chunks(spark: SparkSession, d: str) -> DataFrame:
     return q.select("article_id", "section_n", F.round(10 * (F.col("section_n_chunk") - F.col("section_n"))).cast("int").alias("chunk_n")).distinct()
 
 
-@query(Q + "select use_question, round(exp(avg(ln(question_ppl))), 6) ppl from q where question_ppl > 0 and not isnan(question_ppl) group by 1")
-def a21_perplexity(spark: SparkSession, d: str) -> DataFrame:
-    q = questions(spark, d, "use_question", "question_ppl").where("question_ppl > 0 and not isnan(question_ppl)")
-    return q.groupBy("use_question").agg(F.round(F.exp(F.avg(F.log("question_ppl"))), 6).alias("ppl"))
-
 
 @query(Q + "select mode_of, selected_ans from (select article_id mode_of, selected_ans, row_number() over (partition by article_id order by count(*) desc, selected_ans) k from q where selected_ans is not null group by 1, 2) where k = 1")
 def a06_mode(spark: SparkSession, d: str) -> DataFrame:
@@ -151,12 +149,18 @@ def prj03_overlapping_chunks(spark: SparkSession, d: str) -> DataFrame:
     return s.select("article_id", "section_n", F.posexplode(chunking.overlapping_chunks(F.lit("What is it"), F.col("text"), 60)).alias("chunk_n", "chunk"))
 
 
-@query()
+_MARKED = "left(text, instr(text, selected_ans) - 1) || '@ANS_BEGIN@' || selected_ans || '@ANS_END@' || substr(text, instr(text, selected_ans) + length(selected_ans))"
+
+
+@query(Q + f""", m as (select question_id, text, selected_ans a, {sentences(_MARKED)} s from q where text is not null and selected_ans is not null),
+i as (select *, list_position(list_transform(s, lambda x: contains(x, '@ANS_BEGIN@')), true) k from m),
+j as (select *, list_transform(s, lambda x, n: case when n = k then '@SENT_BEGIN@' || x || '@SENT_END@' else x end)[greatest(k - 2, 1):k + 2] shown from i)
+select question_id, case when a <> '' and contains(text, a) and k > 0 then array_to_string(shown, ' ') else text end context from j""")
 def w06_f11_answer_context(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d, "text", "selected_ans").where("text is not null and selected_ans is not null").select("question_id", chunking.answer_context(F.col("text"), F.col("selected_ans")).alias("context"))
 
 
-@query()
+@query(Q + f", s as (select question_id, length(selected_ans) n, {sentences('text')} x from q), u as (select question_id, n, list_transform(range(1, len(x) + 1), lambda i: list_sum(list_transform(x[1:i], lambda y: length(y)))) c from s), b as (select question_id, list_transform(c, lambda v: abs(v - n)) d from u) select question_id, cast(coalesce(case when d[1] is null then case when len(d) > 0 then 1 end else list_position(d, list_min(d)) end, 0) as integer) n from b")
 def w07_nearest_prefix(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d, "text", "selected_ans").select("question_id", chunking.nearest_prefix(T.sentences(F.col("text")), F.char_length("selected_ans")).alias("n"))
 
@@ -187,7 +191,10 @@ def s16_full_report_blocks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.inline(readers.full_report_blocks(F.col("text"))))
 
 
-@query("select doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: not starts_with(x, 'TEXT:')), chr(10)) kept from documents")
+_SECTIONS = "string_split(array_to_string(list_filter(string_split(text, chr(10)), lambda x: not starts_with(x, 'TEXT:')), chr(10)), chr(10) || 'section')"
+
+
+@query(rf"select doc_id, array_to_string(list_filter({_SECTIONS}, lambda s: not regexp_matches(s, '(?:^|\n)[ \t\r\f\v]*\[\][ \t\r\f\v]*\n[ \t\r\f\v]*\[\][ \t\r\f\v]*$')), chr(10) || 'section') kept from documents")
 def s17_without_text_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", readers.without_text_lines(F.col("text")).alias("kept"))
 
@@ -203,12 +210,6 @@ def s04_d21_training_rows(spark: SparkSession, d: str) -> DataFrame:
     return s.select("article_id", "section_n", *readers.training_row(F.col("text"), F.array(F.lit("Why?"), F.lit("How?"))))
 
 
-@query("select article_id, section_n, trim(regexp_replace(regexp_replace('<p>' || text || ' &amp; <b>x</b></p>', '<[^>]*>', '', 'g'), '[\\s\\p{Z}\\x1c-\\x1f\\x{85}]+', ' ', 'g')) as text from (select distinct article_id, section_n, replace(replace(text, '&', ''), '<', '') as text from sections where text is not null)".replace("' &amp; <b>x</b></p>'", "' x</p>'"))
-def s09_s11_html_text(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "sections").where("text is not null").select("article_id", "section_n", F.replace(F.replace("text", F.lit("&"), F.lit("")), F.lit("<"), F.lit("")).alias("text")).distinct()
-    html = F.concat(F.lit("<p>"), "text", F.lit(" <b>x</b></p>"))
-    return s.select("article_id", "section_n", F.trim(T.request_text(F.lit("html"), html, F.array().cast("array<struct<tag:string,text:string>>"))).alias("text"))
-
 
 @query(Q + "select question_id, array_to_string(list_transform(list_filter([['P', question], ['I', details], ['P', selected_ans]], lambda e: e[1] <> 'I'), lambda e: e[2]), ' ') as text from q where question is not null and selected_ans is not null")
 def s10_element_text(spark: SparkSession, d: str) -> DataFrame:
@@ -221,17 +222,6 @@ def k02_question_lines(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d, "question", "selected_ans").select("question_id", writers.question_lines(F.col("question"), F.col("selected_ans")).alias("line"))
 
 
-@query(Q + "select question_id, '(' || question_id || ')TAKEN?' || case when use_question then 'True' else 'False' end as line from q")
-def k03_taken_line(spark: SparkSession, d: str) -> DataFrame:
-    line = writers.full_line(F.col("question_id"), F.col("use_question"), F.lit(1.0), F.lit(""))
-    return questions(spark, d, "use_question").select("question_id", F.substring_index(line, " RQUGE:", 1).alias("line"))
-
-
-@query(Q + "select question_id, 'Q1:' || question || chr(10) || 'Q2:' || new_question || chr(10) || 'Best ans: ' || selected_ans || chr(10) || '[''A0: ' || coalesce(answers[1], '') || ''']' || chr(10) || 'Text:' || text || chr(10) || chr(10) as block from q")
-def k04_question_block(spark: SparkSession, d: str) -> DataFrame:
-    q = questions(spark, d, "question", "new_question", "selected_ans", "answers", "text")
-    return q.select("question_id", writers.question_block(F.col("question"), F.col("new_question"), F.col("selected_ans"), F.array(F.coalesce(F.get("answers", 0), F.lit(""))), F.col("text")).alias("block"))
-
 
 @query(Q + "select question_id, 'section ' || section_n || ' - (' || question_id || ') ' || question || ' --- ' || selected_ans || chr(10) || '[' || array_to_string(list_transform(list_filter(short_answers, lambda x: x is not null), lambda x: '''' || x || ''''), ', ') || ']' line from q")
 def k05_distractor_line(spark: SparkSession, d: str) -> DataFrame:
@@ -239,10 +229,6 @@ def k05_distractor_line(spark: SparkSession, d: str) -> DataFrame:
     return q.select("question_id", writers.distractor_line(F.col("section_n"), F.col("question_id"), F.col("question"), F.col("selected_ans"), F.filter("short_answers", lambda x: x.isNotNull())).alias("line"))
 
 
-@query(Q + "select question_id from q where short_answers is null or len(short_answers) = 0")
-def k06_without_distractors(spark: SparkSession, d: str) -> DataFrame:
-    return writers.without_distractors(questions(spark, d, "short_answers"), "short_answers").select("question_id")
-
 
 @query(Q + "select question_id, case when len(a) > 0 then a when len(s) > 0 then s else [] end chosen from (select question_id, list_filter(answers, lambda x: x is not null and length(x) > 30) a, list_filter(short_answers, lambda x: x is not null) s from q)")
 def x_cascade(spark: SparkSession, d: str) -> DataFrame:
@@ -251,10 +237,6 @@ def x_cascade(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d, "answers", "short_answers").select("question_id", select.cascade(F.lit(None).cast("array<string>"), a, s).alias("chosen"))
 
 
-@query(Q + ", t as (select article_id, unnest(string_split(details, ' ')) w from q) select article_id, w, count(*) n from t group by all")
-def u03_token_counts(spark: SparkSession, d: str) -> DataFrame:
-    return questions(spark, d, "article_id", "details").select("article_id", F.explode(F.split("details", " ")).alias("w")).groupBy("article_id", "w").agg(F.count(F.lit(1)).alias("n"))
-
 
 @query("select o_orderkey, regexp_extract_all(strftime(o_orderdate, '%d %B %Y, %H:%M'), '[0-9]+|[A-Za-z]+|[!-/:-@\\[-`{-~]+|\\s+|.') tokens from orders")
 def e01_date_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -272,27 +254,9 @@ def e08_inferred_formats(spark: SparkSession, d: str) -> DataFrame:
     return dates.inferred_formats(x, "name", "example")
 
 
-@query("select e2.token, e2.n, cast(regexp_matches(token, '^[0-9]+$') and cast(token as integer) between 1 and 31 as boolean) is_day from (select cast(day(o_orderdate) as varchar) token, count(*) n from orders group by 1) e2")
-def e02_element_predicate(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "orders").groupBy(F.dayofmonth("o_orderdate").cast("string").alias("token")).agg(F.count(F.lit(1)).alias("n"))
-    return t.select("token", "n", dates.matches(F.col("token"))["%d"].alias("is_day"))
-
-
-@query(Q + f", t as (select question_id, article_id, {norm('selected_ans')} a from q where selected_ans is not null) select article_id, round(avg(cast(a = '' as double)), 6) share from t group by 1")
-def a07_match_share(spark: SparkSession, d: str) -> DataFrame:
-    q = questions(spark, d, "article_id", "selected_ans").where("selected_ans is not null")
-    return q.groupBy("article_id").agg(F.round(F.avg((T.normalize_answer(F.col("selected_ans")) == "").cast("double")), 6).alias("share"))
-
 
 @query("select label, vec_id from (select label, vec_id, row_number() over (partition by label order by vec_id) k, count(*) over (partition by label) n from embeddings) where k <= floor(0.3 * n)")
 def t13_top_share(spark: SparkSession, d: str) -> DataFrame:
     e = numbered(table(spark, d, "embeddings").select("label", "vec_id"), ["label"], ["vec_id"], "k")
     n = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return e.join(n, "label").where(F.col("k") <= F.floor(0.3 * F.col("n"))).select("label", "vec_id")
-
-
-@query(Q + ", r as (select question_id, article_id, section_n, rquge, row_number() over (partition by article_id, section_n order by rquge desc, question_id) k from q where use_question and rquge is not null and not isnan(rquge)) select article_id, section_n, question_id from r where k = 1")
-def prj16_one_a_section(spark: SparkSession, d: str) -> DataFrame:
-    q = questions(spark, d, "article_id", "section_n", "rquge", "use_question").where("use_question and rquge is not null and not isnan(rquge)")
-    w = Window.partitionBy("article_id", "section_n").orderBy(F.desc("rquge"), "question_id")
-    return q.withColumn("k", F.row_number().over(w)).where("k = 1").select("article_id", "section_n", "question_id")

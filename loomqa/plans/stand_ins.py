@@ -74,3 +74,13 @@ def stand_in_encoder(width: int = 32) -> Model:
         return (v / n if n else v).tolist()
 
     return lambda texts: texts.map(vector)
+
+
+def stand_in_continuation() -> Model:
+    """(prompt, context) -> six texts: the prompt and runs of the context's words from six places."""
+
+    def go(prompt: str | None, context: str | None) -> list[str]:
+        words = (context or "").split()
+        return [f"{prompt} {' '.join(words[i : i + 4])}" for i in range(0, len(words), max(1, len(words) // 6))][:6]
+
+    return lambda prompt, context: pd.Series([go(p, c) for p, c in zip(prompt, context)], dtype=object)

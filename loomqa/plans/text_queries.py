@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomqa.functions import similarity as S, text as T
 from loomqa.functions.constants import ANSWER_BLACKLIST, ANSWER_PREFIXES, ANTONYMS, PUNCTUATION, STOP_WORDS
 from loomqa.plans.registry import query
-from loomqa.plans.sqltext import Q, f1, items, lit, norm, overlap, strip, sub, tokens, words
+from loomqa.plans.sqltext import Q, edits, f1, items, lit, norm, overlap, sentences, strip, sub, tokens, words
 from loomqa.runtime import table
 
 
@@ -35,11 +35,15 @@ def kept(name: str, condition, cols: tuple[str, ...], sql: str | None) -> None:
 
 _CLEAN = strip(f"replace({sub(sub(sub(sub(strip('question'), chr(92) + '.+', '.'), chr(92) + '?+', '?'), '_+$'), '(' + chr(92) + '?)' + chr(92) + 's*' + chr(92) + 'S*$', chr(92) + '1')}, '? -', '?')")
 column("f01_clean_questions", T.clean_question, ("question",), _CLEAN)
-_FINAL = r"[Tt]he final answer(?:| is: |s are:| is) ?\([A-Za-z]\)\.?$|[Tt]he final answer: ?\([A-Za-z]\)\.?$"
+_FINAL = r"[Tt]he final answer(?::| is: |s are:| is) ?\([A-Za-z]\)\.?$"
 column("f02_clean_answers", T.clean_answer, ("selected_ans",), strip(sub(sub(strip("selected_ans"), r"^(?:\([a-zA-Z]\)|[a-zA-Z]\))"), _FINAL)))
 column("f03_normalize_answer", T.normalize_answer, ("selected_ans",), norm("selected_ans"))
 column("f04_answer_tokens", T.answer_tokens, ("selected_ans",), tokens("selected_ans"))
-column("f05_abbreviations", lambda c: T.replace_abbreviations(c, [("PSD", "pasture"), ("CPC", "compass")], "full"), ("question",), None)
+_WORD_END = r"[^\p{L}\p{N}\p{M}_]"
+_ABBREVIATED = "question"
+for _short, _long in (("PSD", "pasture"), ("CPC", "compass")):
+    _ABBREVIATED = f"regexp_replace({sub(sub(_ABBREVIATED, f'(?i){_long} [(]{_short}[)]', _short), f'(?i){_long}', _short)}, {lit(f'(^|{_WORD_END}){_short}($|{_WORD_END})')}, {lit(chr(92) + f'1{_long} ({_short})' + chr(92) + '2')})"
+column("f05_abbreviations", lambda c: T.replace_abbreviations(c, [("PSD", "pasture"), ("CPC", "compass")], "full"), ("question",), _ABBREVIATED)
 column("f06_uppercase_share", lambda c: F.round(T.uppercase_share(c), 6), ("selected_ans",), "case when length(selected_ans) > 0 then round(len(list_filter(string_split(selected_ans, ''), lambda x: x <> '' and x = upper(x))) / length(selected_ans), 6) end")
 column("f06_capitalised_long_form", T.capitalised, ("details",), f"array_to_string(list_transform({words('details')}, lambda w: case when list_contains({items(STOP_WORDS)}, w) then w else upper(w[1]) || lower(w[2:]) end), ' ')")
 _PRE = "|".join(sorted(ANSWER_PREFIXES, key=lambda p: (-len(p), p)))
@@ -66,13 +70,14 @@ column("f14_clean_for_selector", lambda c: T.without_odd_characters(T.without_qu
 column("f15_lower_for_selector", F.lower, ("selected_ans",), "lower(selected_ans)")
 column("f16_prefix_length", T.prefix_length, ("selected_ans", "question"), f"""case when selected_ans is null or question is null then null else 1 + coalesce(list_position(list_transform(list_append(({words('selected_ans')})[2:], chr(0)), lambda w: not (list_contains({_DROP}, lower(w)) or list_contains({_ASKED}, lower(w)))), true) - 1, 0) end""")
 column("f17_authors", T.authors, ("text",), "array_to_string(list_transform(string_split(text, ' '), lambda w: case w when 'we' then 'the authors' when 'We' then 'The authors' when 'our' then 'the authors''' when 'Our' then 'The authors''' else w end), ' ')")
-column("f19_sentences", lambda c: F.size(T.sentences(c)), ("text",), None)
-column("f20_split_outputs", T.split_outputs, ("answers",), None)
+column("f19_sentences", lambda c: F.size(T.sentences(c)), ("text",), f"cast(len({sentences('text')}) as integer)")
+_OUT = f"list_filter(list_transform(flatten(list_transform(answers, lambda x: string_split(x, '<sep>'))), lambda x: {strip('x')}), lambda x: x <> '')"
+column("f20_split_outputs", T.split_outputs, ("answers",), f"list_filter({_OUT}, lambda x, i: list_position({_OUT}, x) = i)")
 
 kept("prj04_chunk_min_words", lambda c: T.word_count(c) > 40, ("text",), f"len({words('text')}) > 40")
 kept("prj07_discarded_questions", T.discarded_question, ("question",), r"regexp_matches(question, '^(?:[Ww]ho|WHO .*)') or regexp_matches(question, '^(?:[Ww]hat is|are the final answer|answers to the question|questions)') or not contains(question, '?')")
 _BLACK = f"list_contains({items(ANSWER_BLACKLIST)}, {strip('lower(' + sub(chr(114) + 'eplace(selected_ans, ' + lit('_') + ', ' + lit('') + ')', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + chr(92) + 'p{M}_' + chr(92) + 's' + chr(92) + 'p{Z}' + chr(92) + 'x1c-' + chr(92) + 'x1f' + chr(92) + 'x{85}]') + ')')})"
-kept("prj08_blacklisted_answers", T.blacklisted_answer, ("selected_ans",), _BLACK)
+kept("prj08_blacklisted_answers", lambda c: T.blacklisted_answer(F.substring_index(c, " ", 1)), ("selected_ans",), _BLACK.replace("selected_ans", "string_split(selected_ans, ' ')[1]"))
 kept("prj09_kept_by_answers", lambda c: ~T.bad_answer(c), ("selected_ans",), f"not ({_BLACK} or ends_with({strip('selected_ans')}, ':'))")
 kept("prj11_plain_characters", T.plain_characters, ("selected_ans",), r"regexp_matches(selected_ans, '^[\p{L}\p{N}\p{M}_\s\p{Z}\x1c-\x1f\x{85}.,%=+:()\-]+$')")
 kept("prj12_no_long_word", lambda c: ~T.has_long_word(c, 12), ("selected_ans",), f"selected_ans is not null and len(list_filter({words('selected_ans')}, lambda w: length(w) > 12)) = 0")
@@ -88,7 +93,7 @@ column("prj19_answer_context", lambda a, t: F.concat(a, F.lit(" \\n "), t), ("se
 column("prj20_race_prompt", lambda q, t, a: F.format_string("question: %s options: %s article: %s", q, F.array_join(a, " | "), t), ("question", "text", "answers"), "'question: ' || coalesce(question, 'null') || ' options: ' || coalesce(array_to_string(list_filter(answers, lambda x: x is not null), ' | '), 'null') || ' article: ' || coalesce(text, 'null')")
 column("prj21_training_row", lambda q: F.replace(F.concat(q, F.lit(" {sep_token} </s>")), F.lit("{sep_token}"), F.lit("<sep>")), ("question",), "replace(question || ' {sep_token} </s>', '{sep_token}', '<sep>')")
 column("x03_keep_original", lambda q, n: F.when(F.forall(T.words(F.lower(n)), lambda w: F.contains(F.lower(q), w)), q).otherwise(n), ("question", "new_question"), f"case when len(list_filter({words('lower(new_question)')}, lambda w: not contains(lower(question), w))) = 0 then question else new_question end")
-column("x05_score_prompt", lambda t, q, g: F.concat(F.lit("q "), T.normalize_answer(q), F.lit(" gold "), T.normalize_answer(g), F.lit(" c "), T.normalize_answer(t)), ("text", "question", "selected_ans"), f"'q ' || {norm('question')} || ' gold ' || {norm('selected_ans')} || ' c ' || {norm('text')}")
+column("x05_score_prompt", T.score_prompt, ("question", "selected_ans", "generated_selected_ans", "text"), f"{norm('question')} || ' <q> ' || {norm('selected_ans')} || ' <r> ' || {norm('generated_selected_ans')} || ' <c> ' || {norm('text')}")
 
 _G, _N = "generated_selected_ans", "selected_ans"
 _TG, _TN = tokens(_G), tokens(_N)
@@ -106,11 +111,10 @@ pair("m01_exact_match", S.exact_match, Q + f"select question_id, cast({norm(_G)}
 pair("m02_token_f1", lambda g, a: F.round(S.token_f1(g, a), 6), _LISTS + f"select question_id, case when g is not null and a is not null then round({f1(overlap('g', 'a'), 'g', 'a')}, 6) end as value from t")
 pair("m03_multiset_overlap", lambda g, a: S.let([T.answer_tokens(g), T.answer_tokens(a)], S.multiset_overlap), _LISTS + f"select question_id, case when g is null or a is null then null else cast({overlap('g', 'a')} as integer) end as value from t")
 pair("m04_set_f1", lambda g, a: F.round(S.set_f1(g, a), 6), _LISTS + f"select question_id, case when g is not null and a is not null then round({f1('len(list_intersect(g, a))', 'g', 'a')}, 6) end as value from t")
-# DuckDB counts edits of bytes: in its SQL, not in the queries, other characters become one ASCII character
-_AG, _AN = (sub(c, r"[^\x00-\x7f]", "?") for c in (_G, _N))
-pair("m05_levenshtein", F.levenshtein, Q + f"select question_id, cast(levenshtein({_AG}, {_AN}) as integer) as value from q")
-pair("m06_normalized_levenshtein", lambda g, a: F.round(S.normalized_levenshtein(g, a), 6), Q + f"select question_id, case when {_G} is null or {_N} is null then null when greatest(length({_G}), length({_N})) = 0 then 0.0 else round(levenshtein({_AG}, {_AN}) / greatest(length({_AG}), length({_AN})), 6) end as value from q")
-pair("m07_one_edit", S.one_edit, Q + f"select question_id, damerau_levenshtein({_AG}, {_AN}) <= 1 as value from q")
+_EDITS = edits(_G, _N)
+pair("m05_levenshtein", F.levenshtein, Q + f"select question_id, case when {_G} is not null and {_N} is not null then cast({_EDITS} as integer) end as value from q")
+pair("m06_normalized_levenshtein", lambda g, a: F.round(S.normalized_levenshtein(g, a), 6), Q + f"select question_id, case when {_G} is null or {_N} is null then null when greatest(length({_G}), length({_N})) = 0 then 0.0 else round({_EDITS} / greatest(length({_G}), length({_N})), 6) end as value from q")
+pair("m07_one_edit", S.one_edit, Q + f"select question_id, case when {_G} is not null and {_N} is not null then {edits(_G, _N, 'damerau_levenshtein')} <= 1 end as value from q")
 pair("m08_shares_word", S.shares_word, Q + f"select question_id, len(list_intersect({words(_G)}, {words(_N)})) > 0 as value from q where {_G} is not null and {_N} is not null union all select question_id, null from q where {_G} is null or {_N} is null")
 _X, _Y = (sub(f"translate({c}, '\"''', '')", "[{}^\\\\`⁇<]", " ") for c in (_G, _N))
 pair(
@@ -119,12 +123,18 @@ pair(
 )
 
 
-@query(Q + ", a as (select question_id, unnest(answers) w, generate_subscripts(answers, 1) p, generated_selected_ans g from q), s as (select question_id, w, p, lower(regexp_replace(g, '^ +| +$', '', 'g')) x, lower(regexp_replace(w, '^ +| +$', '', 'g')) y from a where w is not null and g is not null), " + f"z as (select question_id, w, p, case when x = y then 3.0 when {sub(chr(116) + 'ranslate(x, ' + lit(chr(34) + chr(39)) + ', ' + lit('') + ')', '[{}^' + chr(92) * 2 + '`⁇<]', ' ')} = {sub(chr(116) + 'ranslate(y, ' + lit(chr(34) + chr(39)) + ', ' + lit('') + ')', '[{}^' + chr(92) * 2 + '`⁇<]', ' ')} then 2.0 else -1 end v from s) select question_id, arg_max(w, v * 1000 - p) as best from z group by 1 having max(v) >= 2")
+_PLAIN = lambda c: sub(f"translate({c}, '\"''', '')", "[{}^\\\\`⁇<]", " ")
+
+
+@query(Q + f""", a as (select question_id, unnest(answers) w, generate_subscripts(answers, 1) p, generated_selected_ans g from q), s as (select question_id, w, p, lower(regexp_replace(g, '^ +| +$', '', 'g')) x, lower(regexp_replace(w, '^ +| +$', '', 'g')) y from a where w is not null and g is not null),
+t as (select *, {_PLAIN('x')} px, {_PLAIN('y')} py from s),
+z as (select question_id, w, p, case when x = y then 3.0 when px = py then 2.0 when contains(px, ' ') or contains(py, ' ') then len(list_intersect(string_split(px, ' '), string_split(py, ' '))) / greatest(len(string_split(px, ' ')), len(string_split(py, ' '))) else 0.0 end v from t)
+select question_id, w best, round(v, 6) score from (select *, row_number() over (partition by question_id order by v desc, p) k from z) where k = 1""")
 def t09_closest_answer(spark: SparkSession, d: str) -> DataFrame:
-    """The answer most like the selector's output, where one is equal to it but for quotes; the first wins."""
+    """The answer most like the selector's output, the first on a tie."""
     x = questions(spark, d, "answers", "generated_selected_ans").select("question_id", "generated_selected_ans", F.posexplode("answers").alias("p", "w")).where("w is not null and generated_selected_ans is not null")
     x = x.withColumn("v", S.string_score(F.lower(F.trim("generated_selected_ans")), F.lower(F.trim("w"))))
-    return x.groupBy("question_id").agg(F.max_by("w", F.struct("v", (-F.col("p")).alias("p"))).alias("best"), F.max("v").alias("v")).where("v >= 2").select("question_id", "best")
+    return x.groupBy("question_id").agg(F.max_by("w", F.struct("v", (-F.col("p")).alias("p"))).alias("best"), F.round(F.max("v"), 6).alias("score"))
 
 
 @query(Q + ", t as (select question_id, list_filter(answers, lambda x: x is not null) a from q) select question_id, list_filter(a, lambda x, i: list_position(a, x) = i) as kept from t")
@@ -132,10 +142,11 @@ def a05_first_of_copies(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d, "answers").select("question_id", F.array_distinct(F.filter("answers", lambda x: x.isNotNull())).alias("kept"))
 
 
-@query(Q + ", t as (select question_id, coalesce(answers, []) a, coalesce(short_answers, []) s from q) select question_id, list_concat(a, ['','','','',''])[1:4] a, list_concat(s, ['','','','',''])[1:4] s from t")
+
+@query(Q + ", t as (select question_id, coalesce(answers, []) a, coalesce(short_answers, []) s from q), k as (select *, greatest(5 - len(a), 5 - len(s), 0) more from t) select question_id, list_concat(a, ['','','','',''][1:more]) a, list_concat(s, ['','','','',''][1:more]) s from k")
 def t12_padded_answers(spark: SparkSession, d: str) -> DataFrame:
-    pad = lambda c: F.slice(F.concat(F.coalesce(c, F.array().cast("array<string>")), F.array_repeat(F.lit(""), 5)), 1, 4)
-    return questions(spark, d, "answers", "short_answers").select("question_id", pad(F.col("answers")).alias("a"), pad(F.col("short_answers")).alias("s"))
+    a, s = T.padded_together(F.col("answers"), F.col("short_answers"))
+    return questions(spark, d, "answers", "short_answers").select("question_id", a.alias("a"), s.alias("s"))
 
 
 @query(Q + ", t as (select question_id, list_filter(answers, lambda x: x is not null and regexp_replace(x, '^ +| +$', '', 'g') <> '' and lower(regexp_replace(x, '^ +| +$', '', 'g')) <> lower(regexp_replace(selected_ans, '^ +| +$', '', 'g'))) a from q where selected_ans is not null) select question_id, list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(regexp_replace(y, '^ +| +$', '', 'g'))), lower(regexp_replace(x, '^ +| +$', '', 'g'))) = i) as kept from t")

@@ -107,3 +107,22 @@ def kb_read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def checkpoint_read(spark: SparkSession, path: str) -> DataFrame:
     """A stage written by :func:`loomqa.sources.writers.checkpoint_write`."""
     return spark.read.parquet(path)
+
+
+#: Fields of a multiple-choice reading record.
+RACE = "example_id string, article string, question string, answer string, options array<string>"
+
+
+def race(spark: SparkSession, path: str) -> DataFrame:
+    """Multiple-choice reading records, one JSON object a line; fields that are missing are null."""
+    return spark.read.schema(RACE).json(path)
+
+
+def race_record(text: Column) -> Column:
+    """struct of :data:`RACE` of a record held as JSON text; null if it is not valid."""
+    return F.from_json(text, RACE)
+
+
+def annotations(spark: SparkSession, path: str) -> DataFrame:
+    """Annotated questions of a CSV file with a header: its columns as texts; quoted fields may hold line ends."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

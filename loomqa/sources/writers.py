@@ -39,8 +39,13 @@ def write_lines(df: DataFrame, line: str, order: list[str], path: str) -> None:
     df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col(line).alias("value")).write.text(path)
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    """One JSON object a metric."""
+def write_metrics(metrics: DataFrame, path: str | None = None) -> None:
+    """One JSON object a metric; without a path one object of all metrics to standard output."""
+    if path is None:
+        import json
+
+        print(json.dumps({r.metric: r.value for r in metrics.select("metric", "value").limit(1000).collect()}, indent=2))  # a handful of rows
+        return
     metrics.select(F.to_json(F.struct("metric", "value")).alias("value")).coalesce(1).write.text(path)  # a handful of rows
 
 
