@@ -4,6 +4,7 @@ from loomqa.llm import leakage as L
 
 
 def brute(seq, items, n):
+    """Items that a text of words holds a passage of."""
     out = set()
     for item, w in items:
         size = min(n, len(w))
@@ -39,3 +40,18 @@ def test_operator(spark):
     assert L.leaked_spans(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
     clean = {r.doc_id: r for r in L.without_leaks(docs, "doc_id", "text", items, "item_id", "text", max_coverage=0.95).collect()}
     assert clean[1].text == "Intro. ! End." and clean[2].dropped and clean[2].text is None and clean[3].text is None and clean[5].text == "a short other item"
+
+
+def test_many_blocks_give_what_one_gives(spark):
+    """Random words in few kinds, items of all lengths, blocks of a few items: spans and cut texts are those of one automaton."""
+    rng = random.Random(8)
+    word = lambda: rng.choice("ab cd ef gh ij kl mn op qr st".split())
+    items = [(k, " ".join(word() for _ in range(rng.choice((1, 3, 5, 14, 30))))) for k in range(60)]
+    docs = [(k, " ".join([*(word() for _ in range(rng.randint(0, 25))), *rng.choice(items)[1].split()[: rng.choice((4, 12, 20))], "x²", "end"])) for k in range(150)] + [(900, None), (901, ""), (None, items[0][1])]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    spans = lambda **k: sorted(tuple(r) for r in L.leaked_spans(d, "doc_id", "text", i, "item_id", "text", **k).collect())
+    clean = lambda **k: sorted((r.doc_id or -1, r.text or "", r.n_removed, r.dropped) for r in L.without_leaks(d, "doc_id", "text", i, "item_id", "text", **k).collect())
+    assert spans() and spans(block_chars=300) == spans()
+    assert len(clean()) == len(docs) and clean(block_chars=300) == clean()
+    brute_found = {(k, item) for k, t in docs if t and k is not None for item in brute(L.words(t), [(n, L.words(x)) for n, x in items], 12)}
+    assert {r[:2] for r in spans(block_chars=300)} == brute_found
