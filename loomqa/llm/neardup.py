@@ -16,6 +16,11 @@ from loomqa.runtime import materialize, shuffle_width
 
 #: Frequent tokens are held as two bytes, others as eight.
 MOST_FREQUENT = 60_000
+#: Split paths that are broadcast, at most. Those of the most records are taken; what is then
+#: still crowded is joined in blocks.
+MOST_SPLIT = 1_000_000
+#: Records under one path that one task joins, at most; more go in blocks of half as many.
+MOST_IN_PATH = 40_000
 
 
 def word_set(*texts: str | None) -> set[str]:
@@ -46,8 +51,9 @@ def least_overlap(n: int, m: int, t: float) -> int:
     return math.ceil(t * (n + m) / (1 + t) - 1e-9)
 
 
-def frequent_words(df: DataFrame, texts: list[str], n: int, least: int) -> dict[str, tuple[int, int]]:
-    """Element -> code and number of rows of the elements that at least ``least`` rows have, the rarest first.
+def frequent_words(df: DataFrame, texts: list[str], n: int, least: int, cap: int) -> tuple[dict[str, tuple[int, int]], set[int]]:
+    """Element -> code and number of rows of the elements that at least ``least`` rows have, the rarest
+    first; and the hashes of further elements that more than ``cap`` rows have (:data:`MOST_SPLIT` at most).
 
     Counted over all rows with a combine before the shuffle. At most
     :data:`MOST_FREQUENT` of them, those of the most rows, are taken; so the
@@ -70,8 +76,14 @@ def frequent_words(df: DataFrame, texts: list[str], n: int, least: int) -> dict[
         yield flush()
 
     counted = df.mapInArrow(count, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    counted = materialize(counted)
     top = counted.orderBy(F.desc("c"), "w").limit(MOST_FREQUENT).collect()
-    return {r.w: (i, r.c) for i, r in enumerate(reversed(top))}
+    more: set[int] = set()
+    if len(top) == MOST_FREQUENT and top[-1].c > cap:
+        known = {r.w for r in top}
+        rest = counted.where(F.col("c") > cap).orderBy(F.desc("c"), "w").limit(MOST_FREQUENT + MOST_SPLIT)
+        more = {_rare(w) for (w,) in rest.select("w").toLocalIterator() if w not in known}
+    return {r.w: (i, r.c) for i, r in enumerate(reversed(top))}, more
 
 
 def encoded_sets(df: DataFrame, key: str, texts: list[str], n: int, frequent: dict[str, int]) -> DataFrame:
@@ -144,14 +156,16 @@ def paths(tokens: tuple[int, ...], t: float, split: set[int], most: int) -> Iter
                 yield _extend(p, -1), depth, i + 1
 
 
-def crowded_paths(sets: DataFrame, t: float, cap: int, most: int, split: set[int]) -> set[int]:
-    """Hashes of the paths under which more than ``cap`` records would be filed, level by level.
+def crowded_paths(sets: DataFrame, t: float, cap: int, most: int, split: set[int], most_split: int | None = None) -> tuple[set[int], bool]:
+    """Hashes of the paths under which more than ``cap`` records would be filed, level by level, and
+    whether some may be left: paths of the greatest length, or beyond ``most_split`` in number.
 
     ``split`` has the single elements in more than ``cap`` sets. Each further
     level counts only what lies below the crowded paths of the one before, over
     the records that have one. Their number is at most (paths a record) * rows /
     cap a level; ``cap`` grows with the root of the rows, so the set that is
-    broadcast grows with the root at most."""
+    broadcast grows with the root, up to its fixed bound."""
+    most_split = MOST_SPLIT if most_split is None else most_split
     sc, sets = sets.sparkSession.sparkContext, sets.select("enc")
     for level in range(2, most):
         held = sc.broadcast(split)
@@ -171,9 +185,15 @@ def crowded_paths(sets: DataFrame, t: float, cap: int, most: int, split: set[int
                     yield flush()
             yield flush()
 
-        found = {p for (p,) in sets.mapInArrow(count, "p long, c long").groupBy("p").agg(F.sum("c").alias("c")).where(F.col("c") > cap).select("p").collect()}
+        crowded = sets.mapInArrow(count, "p long, c long").groupBy("p").agg(F.sum("c").alias("c")).where(F.col("c") > cap)
+        room = most_split - len(split)
+        # one more than there is room for, so that a full set is noticed; the paths of the most records come first
+        found = [p for (p,) in crowded.orderBy(F.desc("c"), "p").limit(max(0, room) + 1).select("p").collect()]
         if not found:
-            break
+            return split, False
+        if len(found) > room:
+            return split | set(found[: max(0, room)]), True
+        found = set(found)
         if level < 4:
             now = sc.broadcast(found)
 
@@ -184,7 +204,24 @@ def crowded_paths(sets: DataFrame, t: float, cap: int, most: int, split: set[int
 
             sets = materialize(sets.mapInArrow(having, "enc binary"))
         split = split | found
-    return split
+    return split, True
+
+
+def _in_blocks(filed: DataFrame, most: int) -> DataFrame:
+    """``filed`` with ``part`` and ``side``: paths with more than ``most`` rows are cut into blocks of half of that,
+    and each row goes to the part of its block and to those of its block with each other one.
+
+    In a part of two blocks one (side 0) is filed in the tree and the other (side 1) probes it; else
+    (side 2) each row does both. So each two rows of a path meet in one task, which holds at most
+    ``most`` rows of it."""
+    filed = materialize(filed)
+    blocks = filed.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("path", F.ceil(F.col("n") * 2.0 / most).cast("int").alias("k"))
+    k = F.coalesce("k", F.lit(1))
+    x = filed.join(blocks, "path", "left").withColumn("block", F.pmod(F.xxhash64("record"), k).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") == low, 0).otherwise(1)
+    return x.select("path", "record", "meta", "rest", (low * k + high).alias("part"), side.alias("side"))
 
 
 class PrefixTree:
@@ -291,28 +328,33 @@ def _filed(sets: DataFrame, t: float, split: set[int], most: int) -> DataFrame:
 
 
 def _join(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by path and size: probe the tree of the path with each row, then insert it.
+    """Rows sorted by path (and part and side) and size: probe the tree of the path with each row, then insert it.
     A path's first row waits until there is a second one."""
     current, first, tree = None, None, None
     for batch in batches:
         a, b = [], []
-        path_of, record_of, meta_of, rest_of = (c.to_pylist() for c in batch.columns)
-        for i, path in enumerate(path_of):
+        path_of, record_of, meta_of, rest_of, *parts = (c.to_pylist() for c in batch.columns)
+        side_of = parts[1] if parts else None
+        for i, path in enumerate(zip(path_of, parts[0]) if parts else path_of):
+            side = side_of[i] if side_of else 2
             if path != current:
-                current, first, tree = path, (record_of[i], meta_of[i], rest_of[i]), None
+                current, first, tree = path, (record_of[i], meta_of[i], rest_of[i], side), None
                 continue
             if tree is None:
                 tree = PrefixTree(t)
-                tree.insert(first[1] >> 4, decode_set(first[2]), first[0])
+                if first[3] != 1:
+                    tree.insert(first[1] >> 4, decode_set(first[2]), first[0])
             record, size, tokens = record_of[i], meta_of[i] >> 4, decode_set(rest_of[i])
-            for other in tree.similar(size, tokens, meta_of[i] & 15):
-                a.append(min(record, other))
-                b.append(max(record, other))
-            tree.insert(size, tokens, record)
+            if side:
+                for other in tree.similar(size, tokens, meta_of[i] & 15):
+                    a.append(min(record, other))
+                    b.append(max(record, other))
+            if side != 1:
+                tree.insert(size, tokens, record)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def similar_classes(df: DataFrame, key: str, texts: list[str], t: float, n: int = 1, cap_scale: float = 0.25) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, key: str, texts: list[str], t: float, n: int = 1, cap_scale: float = 0.25, most_split: int | None = None, most_in_path: int = MOST_IN_PATH) -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs (a, b), a < b, of class representatives whose sets have a Jaccard
     similarity of at least ``t``, and (key, record) of every row with its representative.
 
@@ -321,34 +363,56 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], t: float, n: int
     sub-sequences of their globally ordered sets and the rows of each path are
     joined in a prefix tree. A path with too many records is split into longer
     ones, as often as needed up to 12 elements: no pair is lost by it, as both records
-    of a pair decide alike, and no path holds all the rows that share a frequent
-    element. Rows without an element take no part."""
+    of a pair decide alike. What is still crowded then - longer paths, or paths beyond the
+    number that is broadcast - is joined block by block, so a task never holds more than
+    ``most_in_path`` records of a path. Rows without an element take no part."""
     most = 12
     slim = df.select(key, *texts).where(F.col(key).isNotNull())
     rows = slim.count()
     cap = max(60, int(cap_scale * math.sqrt(rows)))
-    frequent = frequent_words(slim, texts, n, max(40, cap // 2))
+    frequent, more = frequent_words(slim, texts, n, max(40, cap // 2), cap)
     members = materialize(encoded_sets(slim, key, texts, n, frequent))
     sets = materialize(members.groupBy("enc").agg(F.min("key").alias("record"), F.count_distinct("key").alias("copies")).select("record", "enc", "copies"))
-    split = crowded_paths(sets, t, cap, most, {_extend(0, c) for c, many in frequent.values() if many > cap})
+    split, left = crowded_paths(sets, t, cap, most, {_extend(0, c) for c, many in frequent.values() if many > cap} | {_extend(0, h) for h in more}, most_split)
     wide = shuffle_width(df.sparkSession, 2)
-    filed = _filed(sets, t, split, most).repartition(wide, "path").sortWithinPartitions("path", "meta")
+    filed = _filed(sets, t, split, most)
+    if left:
+        filed = _in_blocks(filed, most_in_path).repartition(wide, "path", "part").sortWithinPartitions("path", "part", "side", "meta")
+    else:
+        filed = filed.repartition(wide, "path").sortWithinPartitions("path", "meta")
     links = filed.mapInArrow(lambda b: _join(b, t), "a long, b long").distinct()
-    shared = sets.where("copies > 1").select("enc", "record")
-    return links, members.join(shared, "enc").select("key", "record").distinct()
+    shared = sets.where("copies > 1").select("enc", "record", "copies")
+    return links, members.join(shared, "enc").select("key", "record", "copies").distinct()
 
 
 def similar_pairs(df: DataFrame, key: str, texts: list[str], t: float, n: int = 1) -> DataFrame:
-    """All pairs (a, b), a < b, of different keys whose sets are similar, copies written out."""
+    """All pairs (a, b), a < b, of different keys whose sets are similar, copies written out.
+
+    The result is as large as its pairs; :func:`representative_links` with :func:`linked_classes` says the same
+    without writing out copies."""
     links, shared = similar_classes(df, key, texts, t, n)
     shared = materialize(shared)
     links = links.join(shared.select(F.col("record").alias("a"), F.col("key").alias("ka")), "a", "left").join(shared.select(F.col("record").alias("b"), F.col("key").alias("kb")), "b", "left")
     x, y = F.coalesce("ka", "a"), F.coalesce("kb", "b")
     across = links.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    inside = shared.alias("l").join(shared.alias("r"), F.expr("l.record = r.record and l.key < r.key")).select(F.col("l.key").alias("a"), F.col("r.key").alias("b"))
+    # a class of many copies is spread over salts, against which its rows are laid out once each
+    salts = shuffle_width(df.sparkSession)
+    spread = F.when(F.col("copies") > MANY_COPIES, F.lit(salts)).otherwise(F.lit(1))
+    left = shared.select("record", F.pmod(F.xxhash64("key"), spread).cast("int").alias("salt"), F.col("key").alias("a"))
+    right = shared.select("record", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"), F.col("key").alias("b"))
+    inside = left.join(right, ["record", "salt"]).where("a < b").select("a", "b")
     return across.unionByName(inside)
 
 
+#: Copies of one class beyond which writing out its pairs is spread over several tasks.
+MANY_COPIES = 2_000
+
+
+def representative_links(df: DataFrame, key: str, texts: list[str], t: float, n: int = 1) -> DataFrame:
+    """Pairs (a, b), a < b, of class representatives that are similar; :func:`linked_classes` has who belongs to a class."""
+    return similar_classes(df, key, texts, t, n)[0]
+
+
 def linked_classes(df: DataFrame, key: str, texts: list[str], t: float, n: int = 1) -> DataFrame:
     """One row for each key that has a copy or a similar row: key, class_id, n_copies, n_links.
 

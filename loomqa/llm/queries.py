@@ -37,6 +37,11 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.linked_classes(table(spark, d, "questions_df"), "question_id", ["question", "selected_ans"], 0.75).withColumnRenamed("key", "question_id")
 
 
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    links = neardup.representative_links(table(spark, d, "questions_df"), "question_id", ["question", "selected_ans"], 0.75)
+    return links.select(F.col("a").alias("question_id_a"), F.col("b").alias("question_id_b"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_copies(table(spark, d, "relation_spans"), least_copies=2).where("first_rel_id < rel_id").select("first_rel_id", "rel_id")
 
@@ -96,7 +101,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_labels, p3_found, p3_classes, p5_found, p5_collapsed, p6_found, p6_pieces, p7_ids, x16_document_labels, p8_found, p8_spans, p8_cleaned, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_labels, p3_found, p3_classes, p3_links, p5_found, p5_collapsed, p6_found, p6_pieces, p7_ids, x16_document_labels, p8_found, p8_spans, p8_cleaned, p9_found, p9_restored)}
 
 
 _COPIES = r"""

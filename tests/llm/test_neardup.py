@@ -81,3 +81,37 @@ def test_tree_and_paths_find_all_pairs(sets, t, cap):
             tree.insert(size, rest, i)
     expected = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]) - 1e-12}
     assert got == expected
+
+
+@pytest.mark.parametrize("most_split,most_in_path", [(0, 6), (3, 10), (10**6, 4)])
+def test_crowded_paths_are_joined_in_blocks(spark, monkeypatch, most_split, most_in_path):
+    """With next to no split paths, and few records under one path in a task, no pair is lost or doubled."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(12)]
+    rows = [(k, " ".join(w for w in base if rng.random() < 0.9) or "b0", f"own{rng.randrange(40)}") for k in range(250)]
+    df = spark.createDataFrame(rows, "key long, q string, a string")
+    members = {}
+    monkeypatch.setattr(N, "max", lambda *x: 10 if x[0] == 60 else __builtins__["max"](*x), raising=False)
+    links, shared = N.similar_classes(df, "key", ["q", "a"], 0.75, most_split=most_split, most_in_path=most_in_path)
+    for r in shared.collect():
+        members.setdefault(r.record, set()).add(r.key)
+    got = {(min(x, y), max(x, y)) for a, b in links.collect() for x in members.get(a, {a}) for y in members.get(b, {b})}
+    got |= {(x, y) for m in members.values() for x, y in itertools.combinations(sorted(m), 2)}
+    assert got == brute(rows, 0.75)
+
+
+def test_a_family_of_edited_copies(spark):
+    """1,500 texts of one template that differ in two of 20 words: all are found as near one another, as classes and their links."""
+    rng = random.Random(2)
+    template = [f"t{i}" for i in range(20)]
+    rows = []
+    for k in range(1500):
+        w = list(template)
+        for _ in range(2):
+            w[rng.randrange(20)] = f"e{rng.randrange(25)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "key long, t string")
+    expected = brute([(k, t, None) for k, t in rows], 0.8)
+    links = {tuple(r) for r in N.representative_links(df, "key", ["t"], 0.8).collect()}
+    assert links <= expected
+    assert {tuple(r) for r in N.similar_pairs(df, "key", ["t"], 0.8).collect()} == expected
