@@ -50,6 +50,15 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_copies(table(spark, d, "relation_spans")).where("first_rel_id = rel_id").select("first_rel_id", "n_copies")
 
 
+def p5_nested_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Each relation of the bases with the first one that equals it but for formatting."""
+    r = table(spark, d, "kb").select("kb_id", F.posexplode("relations").alias("pos", "r")).where("r is not null")
+    r = r.select(F.concat_ws(":", F.col("kb_id").cast("string"), "pos").alias("relation"), "r.*")
+    names = ("head", "type", "tail")
+    r = r.withColumn("leaves", canonical.composed(*map(F.col, names))).withColumns({c: F.get("leaves", i) for i, c in enumerate(names)})
+    return canonical.record_copies(r, "relation", ["head", "type", "tail"])
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "sections").select(F.lit("sections").alias("table_name"), "article_id", "section_n", F.lit(0).alias("chunk_n"), "text")
     chunk = F.round(10 * (F.col("section_n_chunk") - F.col("section_n"))).cast("int")
@@ -101,9 +110,10 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_labels, p3_found, p3_classes, p3_links, p5_found, p5_collapsed, p6_found, p6_pieces, p7_ids, x16_document_labels, p8_found, p8_spans, p8_cleaned, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_labels, p3_found, p3_classes, p3_links, p5_found, p5_collapsed, p5_nested_copies, p6_found, p6_pieces, p7_ids, x16_document_labels, p8_found, p8_spans, p8_cleaned, p9_found, p9_restored)}
 
 
+_NORMAL = r"regexp_replace(regexp_replace(lower(nfc_normalize({c})), '(^|[^\p{{L}}\p{{M}}])\p{{M}}+', '\1', 'g'), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g')"
 _COPIES = r"""
 with p as (
   select rel_id, record is not null and ltrim(record)[1] = '{' as js, record,
@@ -115,7 +125,7 @@ f as (
     case when record is null then tail when js then json_extract_string(record, '$.tail') else regexp_extract(record, '(?i)(?:^|[\n|;])\s*tail\s*[:=]([^\n|;]*)', 1) end l
   from p),
 n as (
-  select distinct rel_id, regexp_replace(lower(h), '[^\p{L}\p{N}]+', '', 'g') h, regexp_replace(lower(t), '[^\p{L}\p{N}]+', '', 'g') t, regexp_replace(lower(l), '[^\p{L}\p{N}]+', '', 'g') l
+  select distinct rel_id, """ + ", ".join(f"{_NORMAL.format(c=x)} {x}" for x in "htl") + """
   from f),
 c as (
   select rel_id, min(rel_id) over (partition by h, t, l) first_rel_id, count(*) over (partition by h, t, l) n_copies
@@ -145,6 +155,10 @@ x as (select a, b, l.n + r.n n, len(list_intersect(l.ws, r.ws)) common from c jo
 select a question_id_a, b question_id_b from x where common >= 0.75 * (n - common)""",
         "p5_found": _COPIES + "select first_rel_id, rel_id from c where first_rel_id < rel_id",
         "p5_collapsed": _COPIES + "select first_rel_id, n_copies from c where first_rel_id = rel_id",
+        "p5_nested_copies": f"""
+with r as (select kb_id || ':' || (generate_subscripts(relations, 1) - 1) relation, unnest(relations) r from kb),
+n as (select relation, {", ".join(f"{_NORMAL.format(c=f'r.{x}')} {x}" for x in ('head', 'type', 'tail'))} from r where r is not null)
+select relation, min(relation) over (partition by head, type, tail) first_key, count(*) over (partition by head, type, tail) n_copies from n""",
         "p6_found": """
 select distinct 'sections' table_name, article_id, section_n, 0 chunk_n from sections where length(text) > 1500
 union all

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -20,6 +21,10 @@ BOUNDARIES = (
 )
 
 
+#: Marks, joiners and selectors that belong to the character before them.
+_BELONGS = re.compile("[\u0300-\u036f\u200d\ufe0f\U0001f3fb-\U0001f3ff]")
+
+
 def boundary_strengths(text: str) -> dict[int, int]:
     """Offset of each possible cut -> strength of the strongest boundary there."""
     found: dict[int, int] = {}
@@ -31,8 +36,6 @@ def boundary_strengths(text: str) -> dict[int, int]:
 
 def _place(n: int, pieces: int, marks: list[int], strength: dict[int, int], text: str, limit: int, overlap: int) -> list[tuple[int, int]] | None:
     """Start and end of ``pieces`` pieces, or None if one is over the limit."""
-    import bisect
-
     target = n / pieces
     slack = max(1, int(target * 0.25))
     cuts = [0]
@@ -48,7 +51,7 @@ def _place(n: int, pieces: int, marks: list[int], strength: dict[int, int], text
         if best is None:
             best = min(max(ideal, low), high)
             # never between a base character and a mark, joiner or selector that belongs to it
-            while best > low and re.match(r"[̀-ͯ‍️\U0001F3FB-\U0001F3FF]", text[best]):
+            while best > low and _BELONGS.match(text[best]):
                 best -= 1
         cuts.append(best)
     cuts.append(n)
@@ -56,12 +59,15 @@ def _place(n: int, pieces: int, marks: list[int], strength: dict[int, int], text
     for k in range(pieces):
         start = cuts[k]
         if k and overlap:
-            reach = max(cuts[k] - overlap, cuts[k - 1], 0)
-            i, j = bisect.bisect_left(marks, reach), bisect.bisect_left(marks, cuts[k])
-            start = min(marks[i:j], key=lambda p: (strength[p] < 4, p), default=reach) if i < j else reach
-        if cuts[k + 1] - start > limit:
-            start = cuts[k + 1] - limit
-        if start > cuts[k] or cuts[k + 1] <= cuts[k]:
+            # the overlap asked for, or less by a half at most where a boundary is nearby; a sentence's end goes before a weaker one
+            reach, latest = max(cuts[k] - overlap, cuts[k - 1]), cuts[k] - (overlap + 1) // 2
+            i, j = bisect.bisect_left(marks, reach), bisect.bisect_right(marks, latest)
+            start = min(marks[i:j], key=lambda p: (strength[p] < 4, p), default=None)
+            if start is None:
+                start = reach
+                while start < latest and _BELONGS.match(text[start]):
+                    start += 1
+        if cuts[k + 1] - start > limit or cuts[k + 1] <= cuts[k]:
             return None
         spans.append((start, cuts[k + 1]))
     return spans
@@ -72,8 +78,9 @@ def split_balanced(text: str, limit: int = 1500, overlap: int = 200) -> list[tup
 
     The least number of pieces is computed, equal-length targets are placed and
     each is snapped to the strongest nearby boundary; if any piece would exceed
-    the limit, one more piece is tried. Each piece after the first starts at most
-    ``overlap`` characters before the end of the one before it. A text within
+    the limit, one more piece is tried. Each piece after the first repeats ``overlap`` characters of the
+    one before it, or less by a half at most, so that it starts at a boundary; the whole of what the one before added, if
+    that is shorter. A text within
     the limit, also an empty one, is one piece. Every character is covered."""
     n = len(text)
     if n <= limit:

@@ -28,3 +28,24 @@ def test_a_class_with_a_third_of_all_rows(spark):
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_accents_however_they_are_written(spark):
+    rows = [(1, "café", "t", "x", None), (2, "café", "t", "x", None), (3, "cafe", "t", "x", None), (4, "की", "t", "x", None), (5, "कि", "t", "x", None), (6, None, None, None, "head=Café; type=T; tail=X")]
+    assert run(spark, rows) == {1: (1, 3), 2: (1, 3), 6: (1, 3), 3: (3, 1), 4: (4, 1), 5: (5, 1)}
+
+
+def test_records_of_any_shape(spark):
+    from loomqa.llm.canonical import record_copies
+
+    s = "k long, name string, tags array<string>, meta map<string,struct<b:int,a:string>>, parts array<struct<x:string,y:double>>, root string"
+    r = lambda k, name, tags, meta, parts: (k, name, tags, meta, parts, "clash")
+    rows = [
+        r(7, "Ann Lee", ["a", "b"], {"u": {"a": "Hello, world", "b": 1}, "v": None}, [{"x": "p", "y": 1.0}]), r(3, "ann-lee", ["A ", "B."], {"v": None, "u": {"a": "HELLO WORLD", "b": 1}}, [{"x": "P!", "y": 1.0}]),
+        r(4, "Ann Lee", ["b", "a"], {"u": {"a": "Hello, world", "b": 1}, "v": None}, [{"x": "p", "y": 1.0}]), r(5, "Ann Lee", ["ab"], {"u": {"a": "Hello, world", "b": 1}, "v": None}, [{"x": "p", "y": 1.0}]),
+        r(6, "Ann Lee", ["a", "b"], {"u": {"a": "Hello, world", "b": 2}, "v": None}, [{"x": "p", "y": 1.0}]), r(8, None, None, None, None), r(9, None, None, None, None), r(10, "", [], {}, []), r(None, "x", None, None, None), r(7, "Ann Lee", ["a", "b"], {"u": {"a": "Hello, world", "b": 1}, "v": None}, [{"x": "p", "y": 1.0}]),
+    ]
+    df = spark.createDataFrame(rows, s)
+    got = {x.k: (x.first_key, x.n_copies) for x in record_copies(df, "k", ["name", "tags", "meta", "parts"]).collect()}
+    assert got == {7: (3, 2), 3: (3, 2), 4: (4, 1), 5: (5, 1), 6: (6, 1), 8: (8, 2), 9: (8, 2), 10: (10, 1)}
+    assert record_copies(df.limit(0), "k", ["name"]).count() == 0

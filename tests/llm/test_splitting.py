@@ -36,3 +36,17 @@ def test_operator_edges(spark):
     got = split_oversized(df, ["k"], "t").collect()
     assert sorted(r.k for r in got) == [4, 4, 4, 4, 5, 5]
     assert split_oversized(df.limit(0), ["k"], "t").count() == 0
+
+
+def test_the_overlap_asked_for_is_held():
+    """Between a half and the whole of it, in prose, in sentences nearly as long as a piece, and without any boundary."""
+    prose = " ".join(f"Sentence number {i} ends here, {'and so on, ' * (i % 9)}to be sure." for i in range(300))
+    for text in (prose, " ".join("word " * 279 + "end." for _ in range(9)), "x" * 9000, "y" * 700 + ". " + "z" * 5000 + ". " + "w " * 3000):
+        spans = check(text, 1500, 200)
+        for (a, e), (s, _) in zip(spans, spans[1:]):
+            assert 100 <= e - s <= 200, (e - s, a, e)
+
+
+def test_a_cut_stays_off_marks_without_boundaries():
+    text = "é" * 4000
+    assert all(text[a] == "e" for a, _ in check(text, 1500, 200))
