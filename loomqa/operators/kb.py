@@ -46,20 +46,28 @@ def read_records(spans: DataFrame) -> DataFrame:
     return spans.select(*[c for c in spans.columns if c not in [*names, "record"]], F.inline(F.array(F.struct(*read))))
 
 
+SPAN = ["head", "type", "tail", "url", "span_start", "span_end"]
+
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """head, type, tail, url, span_start, span_end: each complete span of each relation once.
+
+    One row a span, so a relation with a third of all spans is never gathered in one row;
+    :func:`merged_relations` makes the nested form where it is wanted."""
+    return spans.select(*SPAN).dropna().distinct()
+
+
 def merged_relations(spans: DataFrame) -> DataFrame:
-    """head, type, tail, meta: map of url -> distinct spans, in order.
+    """head, type, tail, meta: the nested form of :func:`merged_spans`, map of url -> distinct spans in order.
 
-    Two steps, first by relation and url, then by relation; distinct spans are
-    combined before each shuffle."""
-    known = spans.where("head is not null and type is not null and tail is not null and url is not null and span_start is not null and span_end is not null")
-    by_url = known.groupBy("head", "type", "tail", "url").agg(F.sort_array(F.collect_set(F.array("span_start", "span_end"))).alias("spans"))
+    A relation is one row then, so this is for bases whose relations are known to be of bounded size."""
+    by_url = merged_spans(spans).groupBy("head", "type", "tail", "url").agg(F.sort_array(F.collect_list(F.array("span_start", "span_end"))).alias("spans"))
     return by_url.groupBy("head", "type", "tail").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("url", "spans")))).alias("meta"))
 
 
 def new_spans(known: DataFrame, more: DataFrame) -> DataFrame:
     """Distinct complete spans of ``more`` that ``known`` does not hold: what appending adds."""
-    names = ["head", "type", "tail", "url", "span_start", "span_end"]
-    return more.select(*names).dropna().distinct().join(known.select(*names).dropna().distinct(), names, "left_anti")
+    return merged_spans(more).join(merged_spans(known), SPAN, "left_anti")
 
 
 def last_entities(entities: DataFrame) -> DataFrame:
@@ -81,7 +89,12 @@ def resolved_relations(relations: DataFrame, alias: DataFrame) -> DataFrame:
 
 def union_kbs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Relations of two bases merged, with the spans of all urls; both as span tables."""
-    return merged_relations(a.unionByName(b))
+    return merged_relations(united_spans(a, b))
+
+
+def united_spans(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The spans of both bases, each once; both as span tables."""
+    return merged_spans(a.select(*SPAN).unionByName(b.select(*SPAN)))
 
 
 def attributed(predictions: DataFrame, windows: DataFrame, sequences: int = 3) -> DataFrame:

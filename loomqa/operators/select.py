@@ -126,17 +126,19 @@ def marginal_relevance(df: DataFrame, group: str, item: str, vector: str, target
     items - 2) times the item with the highest (1 - diversity) * similarity to the
     seed - diversity * highest similarity to a chosen one; at last by similarity
     to the seed, rounded to 4 places, descending. Two candidates so give one.
-    Each choice is one aggregation with partial maxima over all groups at once,
-    so a group may have any number of items. Ties: the smaller item."""
+    Vectors are written once. Each choice is one aggregation with partial maxima over all groups at once,
+    beside a table of what is chosen (at most ``top_n`` vectors a group), so a group may have
+    any number of items. Ties: the smaller item."""
     base = materialize(df.select(F.col(group).alias("g"), F.col(item).alias("i"), F.col(vector).alias("v"), F.col(target).alias("t")).dropna())
-    size = base.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("i", "v"), F.struct(cosine(F.col("v"), F.col("t")).alias("c"), "i")).alias("s"))
-    state = materialize(base.join(size, "g").select("g", "i", "v", "n", cosine(F.col("v"), F.col("s.v")).alias("rel"), cosine(F.col("v"), F.col("s.v")).alias("near"), (F.col("i") == F.col("s.i")).alias("chosen")))
+    seed = base.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("i", "v"), F.struct(cosine(F.col("v"), F.col("t")).alias("c"), "i")).alias("s"))
+    picks = materialize(seed.select("g", "n", F.array("s").alias("chosen")))
     for k in range(1, top_n):
-        value = (1 - diversity) * F.col("rel") - diversity * F.col("near")
-        pick = state.where(~F.col("chosen") & (F.col("n") - 2 >= k)).groupBy("g").agg(F.min_by(F.struct("i", "v"), F.struct((-value).alias("x"), "i")).alias("p"))
-        x = state.join(pick, "g", "left")
-        state = materialize(x.select("g", "i", "v", "n", "rel", F.greatest("near", F.coalesce(cosine(F.col("v"), F.col("p.v")), F.lit(-2.0))).alias("near"), (F.col("chosen") | F.coalesce(F.col("i") == F.col("p.i"), F.lit(False))).alias("chosen")))
-    done = state.where("chosen").select("g", "i", F.round("rel", 4).alias("similarity"))
+        x = base.join(picks.where(F.col("n") - 2 >= k), "g").where(~F.exists("chosen", lambda c: c.i == F.col("i")))
+        near = F.array_max(F.transform("chosen", lambda c: cosine(F.col("v"), c.v)))
+        value = (1 - diversity) * cosine(F.col("v"), F.get("chosen", 0).v) - diversity * near
+        best = x.groupBy("g").agg(F.min_by(F.struct("i", "v"), F.struct((-value).alias("x"), "i")).alias("p"))
+        picks = materialize(picks.join(best, "g", "left").select("g", "n", F.when(F.col("p").isNull(), F.col("chosen")).otherwise(F.concat("chosen", F.array("p"))).alias("chosen")))
+    done = picks.select("g", F.get("chosen", 0).v.alias("s"), F.explode("chosen").alias("c")).select("g", F.col("c.i").alias("i"), F.round(cosine(F.col("c.v"), F.col("s")), 4).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("similarity"), "i"))
     return done.withColumn("rnk", rank).select(F.col("g").alias(group), F.col("i").alias(item), "similarity", "rnk")
 

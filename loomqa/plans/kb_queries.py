@@ -14,10 +14,9 @@ _KBR = "(select kb_id, unnest(relations) r from kb)"
 _W = lambda x: sub(sub(x, r"\s+", " "), "^ +| +$")
 
 
-@query(f"select head, type, tail, url, string_agg(span_start || '-' || span_end, ' ' order by span_start, span_end) spans from ({_SPANS}) group by all")
+@query(f"select head, type, tail, url, span_start, span_end from ({_SPANS})")
 def a11_u05_merged_relations(spark: SparkSession, d: str) -> DataFrame:
-    m = K.merged_relations(K.read_records(table(spark, d, "relation_spans")))
-    return m.select("head", "type", "tail", F.explode("meta").alias("url", "s")).select("head", "type", "tail", "url", F.array_join(F.transform("s", lambda x: F.array_join(x.cast("array<string>"), "-")), " ").alias("spans"))
+    return K.merged_spans(K.read_records(table(spark, d, "relation_spans")))
 
 
 @query("select title, url, summary from (select e.key title, e.value.url url, e.value.summary summary, row_number() over (partition by e.key order by kb_id desc, e.value.url desc nulls last, e.value.summary desc nulls last) k from (select kb_id, unnest(map_entries(entities)) e from kb)) where k = 1")
@@ -42,7 +41,7 @@ def j07_resolved_relations(spark: SparkSession, d: str) -> DataFrame:
 def j08_union_of_bases(spark: SparkSession, d: str) -> DataFrame:
     names = ["head", "type", "tail", "url", "span_start", "span_end"]
     own = nested.kb_spans(table(spark, d, "kb")).select("head", "type", "tail", F.col("item_key").alias("url"), F.get("span", 0).alias("span_start"), F.get("span", 1).alias("span_end"))
-    return K.union_kbs(K.read_records(table(spark, d, "relation_spans")).select(*names), own).select("head", "type", "tail", F.size("meta").cast("long").alias("n_urls"))
+    return K.united_spans(K.read_records(table(spark, d, "relation_spans")).select(*names), own).groupBy("head", "type", "tail").agg(F.count_distinct("url").alias("n_urls"))
 
 
 _MARKED = "'  ' || replace(" + sub(sub("text", "<s>|<pad>|</s>"), r"\s+", " ") + ", ' ', '  ') || '  '"

@@ -46,8 +46,8 @@ def test_merged_and_united(spark, data, relations):
     for *key, s, e in relations:
         if None not in key and s is not None and e is not None:
             spans[tuple(key)].add((s, e))
-    expected = {(*k, " ".join(f"{s}-{e}" for s, e in sorted(v))) for k, v in spans.items()}
-    got = [tuple(r) for r in registry.queries()["a11_u05_merged_relations"](spark, data).select(*NAMES, "url", "spans").collect()]
+    expected = {(*k, s, e) for k, v in spans.items() for s, e in v}
+    got = [tuple(r) for r in registry.queries()["a11_u05_merged_relations"](spark, data).select(*NAMES, "url", "span_start", "span_end").collect()]
     assert len(got) == len(set(got)) and set(got) == expected
     urls = defaultdict(set)
     for *key, url in spans:
