@@ -23,11 +23,11 @@ class Encoder:
 
     MEMO = 200_000
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         import regex
 
         self.ranks = ranks
-        self.words = regex.compile(PATTERN).findall
+        self.words = regex.compile(pattern).findall
         self.memo: dict[str, tuple[int, ...]] = {}
         self.single = [bytes([b]) for b in range(256)]
 
@@ -91,27 +91,51 @@ def decode(ids: list[int], strings: dict[int, bytes]) -> str:
     return b"".join(strings[i] for i in ids).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[tuple[int, str], Encoder] = {}
+_STRINGS: dict[int, dict[int, bytes]] = {}
 
 
-def encode_corpus(df: DataFrame, doc_id: str, text: str, vocabulary: str) -> DataFrame:
-    """doc_id and ids (array<int>) of each row's text; one output row for each input row.
-
-    ``vocabulary`` is the path of a ``.tiktoken`` rank file that the driver can
-    read. Its content (under 1 MB, fixed) is broadcast, so that executors need no
-    file; each Python worker builds the table once. No shuffle. Null and empty
-    texts give an empty list; blank texts are encoded as they are."""
+def _content(vocabulary: str) -> bytes:
     with open(vocabulary, "rb") as f:
         data = f.read()
     if len(data) > 64 << 20:
         raise ValueError("a vocabulary file of more than 64 MB is not broadcast")
+    return data
+
+
+def decode_corpus(df: DataFrame, doc_id: str, ids: str, vocabulary: str) -> DataFrame:
+    """doc_id and text of each row's ids: the inverse of :func:`encode_corpus` but for null texts, which come back empty.
+
+    Null ids are empty; an id that is not in the vocabulary is an error. No shuffle."""
+    data = _content(vocabulary)
     held = df.sparkSession.sparkContext.broadcast(data)
     key = hash(data)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = _STRINGS.get(key)
+        if strings is None:
+            strings = _STRINGS[key] = {i: b for b, i in load_ranks(held.value).items()}
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(x or [], strings) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids)).mapInArrow(run, "doc_id long, text string")
+
+
+def encode_corpus(df: DataFrame, doc_id: str, text: str, vocabulary: str, pattern: str = PATTERN) -> DataFrame:
+    """doc_id and ids (array<int>) of each row's text; one output row for each input row.
+
+    ``vocabulary`` is the path of a ``.tiktoken`` rank file that the driver can
+    read; ``pattern`` is the one its publisher cuts texts by (the default is that of both public rank files). Its content (under 1 MB, fixed) is broadcast, so that executors need no
+    file; each Python worker builds the table once. No shuffle. Null and empty
+    texts give an empty list; blank texts are encoded as they are."""
+    data = _content(vocabulary)
+    held = df.sparkSession.sparkContext.broadcast(data)
+    key = (hash(data), pattern)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _ENCODERS.get(key)
         if enc is None:
-            enc = _ENCODERS[key] = Encoder(load_ranks(held.value))
+            enc = _ENCODERS[key] = Encoder(load_ranks(held.value), pattern)
         for batch in batches:
             ids = [enc.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])

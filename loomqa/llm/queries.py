@@ -80,6 +80,11 @@ def p7_ids(spark: SparkSession, d: str, vocabulary: str = VOCABULARY) -> DataFra
     return bpe.encode_corpus(table(spark, d, "documents"), "doc_id", "text", vocabulary)
 
 
+def p7_decoded(spark: SparkSession, d: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return bpe.decode_corpus(p7_ids(spark, d, vocabulary), "doc_id", "ids", vocabulary)
+
+
 def x16_document_labels(spark: SparkSession, d: str, length: int = 512) -> DataFrame:
     """Labels of a fixed length of each document's real token ids. Every id from 0 on is a token, so -1 pads."""
     return p7_ids(spark, d).select("doc_id", labels(F.col("ids"), length, pad=-1).alias("label_ids"))
@@ -110,7 +115,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_labels, p3_found, p3_classes, p3_links, p5_found, p5_collapsed, p5_nested_copies, p6_found, p6_pieces, p7_ids, x16_document_labels, p8_found, p8_spans, p8_cleaned, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_labels, p3_found, p3_classes, p3_links, p5_found, p5_collapsed, p5_nested_copies, p6_found, p6_pieces, p7_ids, p7_decoded, x16_document_labels, p8_found, p8_spans, p8_cleaned, p9_found, p9_restored)}
 
 
 _NORMAL = r"regexp_replace(regexp_replace(lower(nfc_normalize({c})), '(^|[^\p{{L}}\p{{M}}])\p{{M}}+', '\1', 'g'), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g')"
@@ -164,6 +169,7 @@ select distinct 'sections' table_name, article_id, section_n, 0 chunk_n from sec
 union all
 select distinct 'questions_df', article_id, section_n, cast(round(10 * (section_n_chunk - section_n)) as integer)
 from questions_df where length(text) > 1500 and section_n_chunk is not null and not isnan(section_n_chunk)""",
+        "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",
         "p8_found": r"""
 with dw as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents where text is not null),
 iw as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from eval_items where text is not null),

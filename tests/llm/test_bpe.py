@@ -40,3 +40,19 @@ def test_operator_edges(spark):
     got = sorted((r.doc_id, r.ids) for r in bpe.encode_corpus(df, "doc_id", "text", PATH).collect())
     assert got == [(1, []), (2, []), (3, [64, 275]), (3, [220])]
     assert bpe.encode_corpus(df.limit(0), "doc_id", "text", PATH).count() == 0
+
+
+def test_decoded_corpus_and_the_vocabulary_for_many_languages(spark):
+    multi = PATH.replace("byte_bpe_50k", "byte_bpe_multi_50k")
+    texts = [(1, None), (2, ""), (3, "Größe, ещё 日本語 <|endoftext|>\n\n  x"), (4, "🙂 é" * 500)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for path in (PATH, multi):
+        ids = bpe.encode_corpus(df, "doc_id", "text", path)
+        assert {r.doc_id: r.text for r in bpe.decode_corpus(ids, "doc_id", "ids", path).collect()} == {k: t or "" for k, t in texts}
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(multi, "rb"))}
+    public = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert {r.doc_id: r.ids for r in bpe.encode_corpus(df, "doc_id", "text", multi).collect()} == {k: public.encode_ordinary(t or "") for k, t in texts}
