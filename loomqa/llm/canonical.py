@@ -88,10 +88,11 @@ def record_copies(df: DataFrame, key: str, columns: list[str], least_copies: int
 
 def relation_parts(df: DataFrame) -> DataFrame:
     """rel_id with normalised h, t, l (head, type, tail), from the columns or from ``record``.
-
-    The generator keeps a later filter from evaluating the normal forms a second time."""
+"""
     part = lambda n: F.when(F.col("record").isNotNull(), labelled_field(F.col("record"), n)).otherwise(F.col(n))
-    raw = df.select("rel_id", composed(part("head"), part("type"), part("tail")).alias("leaves"))
+    # each generator keeps what comes after it from evaluating what came before a second time
+    raw = df.select("rel_id", F.inline(F.array(F.struct(*[part(n).alias(n) for n in ("head", "type", "tail")]))))
+    raw = raw.select("rel_id", composed(F.col("head"), F.col("type"), F.col("tail")).alias("leaves"))
     return raw.select("rel_id", F.inline(F.array(F.struct(*[normal_leaf(F.get("leaves", i)).alias(n) for i, n in enumerate("htl")]))))
 
 
