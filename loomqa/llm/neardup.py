@@ -311,9 +311,12 @@ def _filed(sets: DataFrame, t: float, split: set[int], most: int) -> DataFrame:
     held = sets.sparkSession.sparkContext.broadcast(split)
     schema = "path long, record long, meta int, rest binary"
 
+    def out(ps: list, rec: list, meta: list, rest: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ps, pa.int64()), pa.array(rec, pa.int64()), pa.array(meta, pa.int32()), pa.array(rest, pa.binary())], names=["path", "record", "meta", "rest"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ps, rec, meta, rest = [], [], [], []
+            ps, rec, meta, rest, size = [], [], [], [], 0
             for record, enc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = decode_set(enc)
                 n, r = len(tokens), struct.unpack_from("<I", enc)[0]
@@ -322,7 +325,11 @@ def _filed(sets: DataFrame, t: float, split: set[int], most: int) -> DataFrame:
                     rec.append(record)
                     meta.append(n * 16 + depth)
                     rest.append(struct.pack("<I", max(0, r - at)) + (enc[4 + 8 * at :] if at < r else enc[4 + 8 * r + 2 * (at - r) :]))
-            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int64()), pa.array(rec, pa.int64()), pa.array(meta, pa.int32()), pa.array(rest, pa.binary())], names=["path", "record", "meta", "rest"])
+                    size += len(rest[-1])
+                    if size > 32 << 20:  # sets of very many elements
+                        yield out(ps, rec, meta, rest)
+                        ps, rec, meta, rest, size = [], [], [], [], 0
+            yield out(ps, rec, meta, rest)
 
     return sets.select("record", "enc").mapInArrow(run, schema)
 
