@@ -51,19 +51,19 @@ def tagged(df: DataFrame, key: str, example: str) -> DataFrame:
 
     Examples with the commonest number of tokens count (the fewest on a tie). For
     each position the element that most of them can be is taken, the most
-    restrictive on a tie; below a half a filler. All counts are combined before
-    the shuffle, so a key may have any number of examples. Null examples are
-    left out."""
+    restrictive on a tie; below a half a filler. Tokens are counted by place before
+    anything is joined or matched, and the counts are combined before the shuffle, so a key
+    may have any number of examples. Null examples are left out; an empty text has no tokens."""
     x = df.where(F.col(example).isNotNull()).select(key, tokens(F.col(example)).alias("t"))
-    x = x.withColumn("n", F.size("t"))
-    modal = x.groupBy(key, "n").agg(F.count(F.lit(1)).alias("c")).groupBy(key).agg(F.min_by("n", F.struct((-F.col("c")).alias("c"), "n")).alias("n"))
-    each = x.join(modal, [key, "n"]).select(key, F.posexplode("t").alias("pos", "token"))
-    by_token = each.groupBy(key, "pos", "token").agg(F.count(F.lit(1)).alias("c"))
+    by_token = x.select(key, F.size("t").alias("n"), F.posexplode_outer("t").alias("pos", "token")).groupBy(key, "n", "pos", "token").agg(F.count(F.lit(1)).alias("c"))
+    sizes = by_token.where("coalesce(pos, 0) = 0").groupBy(key, "n").agg(F.sum("c").alias("c"))
+    modal = sizes.groupBy(key).agg(F.min_by("n", F.struct((-F.col("c")).alias("c"), "n")).alias("n"))
+    by_token = by_token.join(modal, [key, "n"])
     can = matches(F.col("token"))
     shares = by_token.groupBy(key, "pos").agg(F.min_by("token", F.struct((-F.col("c")).alias("c"), "token")).alias("filler"), *[(F.sum(F.when(m, F.col("c")).otherwise(0)) / F.sum("c")).alias(f"share{i}") for i, m in enumerate(can.values())])
     best = F.array_max(F.array(*[F.struct(F.col(f"share{i}").alias("share"), F.lit(-i).alias("rank"), F.lit(d).alias("d")) for i, d in enumerate(ORDER)]))
     tag = F.when(best.share < 0.5, F.concat(F.lit(" "), F.col("filler"))).otherwise(best.d)
-    return shares.select(key, "pos", tag.alias("tag")).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "tag"))), lambda p: p.tag).alias("tags"))
+    return shares.select(key, "pos", tag.alias("tag")).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "tag")))), lambda p: p.tag).alias("tags"))
 
 
 def _is(tag: str, pattern: str) -> bool:
