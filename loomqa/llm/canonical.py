@@ -11,21 +11,24 @@ from loomqa.operators.kb import labelled_field
 from loomqa.runtime import shuffle_width
 
 
-def composed(*leaves: Column) -> Column:
-    """Array of the texts with letters and their marks composed (NFC); only rows that hold a mark go to Python."""
+def composed(*leaves: Column, marked: Column | None = None) -> Column:
+    """Array of the texts with letters and their marks composed (NFC); only rows that hold a mark (``marked``) go to Python."""
 
     @F.pandas_udf("array<string>")
     def nfc(rows: pd.Series) -> pd.Series:
         return rows.map(lambda ts: None if ts is None else [None if t is None else unicodedata.normalize("NFC", t) for t in ts])
 
     all_leaves = F.array(*leaves)
-    marked = F.exists(all_leaves, lambda t: F.coalesce(t.rlike(r"\p{M}"), F.lit(False)))
+    if marked is None:
+        marked = F.exists(all_leaves, lambda t: F.coalesce(t.rlike(r"\p{M}"), F.lit(False)))
     return F.when(marked, nfc(F.when(marked, all_leaves))).otherwise(all_leaves)
 
 
-def normal_leaf(c: Column) -> Column:
+def normal_leaf(c: Column, marks: bool = True) -> Column:
     """Lower-cased letters and digits of a leaf, each letter with the marks that go on it, without anything
-    between them; null stays null."""
+    between them; null stays null. Without ``marks`` a cheaper form for texts that hold none."""
+    if not marks:
+        return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
     return F.regexp_replace(F.lower(c), r"(?<![\p{L}\p{M}])\p{M}+|[^\p{L}\p{N}\p{M}]+", "")
 
 
@@ -91,8 +94,10 @@ def relation_parts(df: DataFrame) -> DataFrame:
     part = lambda n: F.when(F.col("record").isNotNull(), labelled_field(F.col("record"), n)).otherwise(F.col(n))
     # each generator keeps what comes after it from evaluating what came before a second time
     raw = df.select("rel_id", F.inline(F.array(F.struct(*[part(n).alias(n) for n in ("head", "type", "tail")]))))
-    raw = raw.select("rel_id", composed(F.col("head"), F.col("type"), F.col("tail")).alias("leaves"))
-    return raw.select("rel_id", F.inline(F.array(F.struct(*[normal_leaf(F.get("leaves", i)).alias(n) for i, n in enumerate("htl")]))))
+    raw = raw.withColumn("marked", F.concat_ws("", "head", "type", "tail").rlike(r"\p{M}"))
+    raw = raw.select("rel_id", "marked", composed(F.col("head"), F.col("type"), F.col("tail"), marked=F.col("marked")).alias("leaves"))
+    leaf = lambda i: F.when(F.col("marked"), normal_leaf(F.get("leaves", i))).otherwise(normal_leaf(F.get("leaves", i), False))
+    return raw.select("rel_id", F.inline(F.array(F.struct(*[leaf(i).alias(n) for i, n in enumerate("htl")]))))
 
 
 def canonical_copies(df: DataFrame, least_copies: int = 1) -> DataFrame:
