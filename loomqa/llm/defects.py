@@ -7,7 +7,7 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomqa.llm.language import PAIR_VOTES, language_votes
+from loomqa.llm.language import MARKS, language_marks, language_votes
 from loomqa.runtime import materialize
 
 DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
@@ -79,11 +79,13 @@ def known_words(df: DataFrame, share: float = 5e-5) -> DataFrame:
 
 
 def labelling_votes(df: DataFrame, known: DataFrame) -> DataFrame:
-    """question_id and one vote column ``defect__function`` for every labelling function."""
-    df = language_votes(df)
+    """question_id and one vote column ``defect__function`` for every labelling function.
+
+    They are computed once and kept as a narrow table in the shared folder, from which the votes on languages follow."""
+    df = language_marks(df)
     a0, q0, n0 = F.col("selected_ans"), F.col("question"), F.col("new_question")
     x = df.select(
-        "question_id", *PAIR_VOTES, F.coalesce(a0, F.lit("")).alias("a"), a0.isNull().alias("gone"), _tokens(a0).alias("at"), _tokens(q0).alias("qt"), _tokens(n0).alias("nt"),
+        "question_id", *MARKS.names, F.coalesce(a0, F.lit("")).alias("a"), a0.isNull().alias("gone"), _tokens(a0).alias("at"), _tokens(q0).alias("qt"), _tokens(n0).alias("nt"),
         F.lower(F.concat_ws(" ", q0, n0, F.col("text"))).alias("around"),
         F.filter(F.concat(F.array("generated_selected_ans"), F.coalesce("answers", F.array().cast("array<string>"))), lambda g: g.isNotNull()).alias("full"),
     )
@@ -128,7 +130,7 @@ def labelling_votes(df: DataFrame, known: DataFrame) -> DataFrame:
         "truncated__prefix": _vote(~blank & ~closed & (F.length("core") >= 3) & (in_word | (in_phrase & (F.size("at") >= 4)))),
         "truncated__bare": _vote(~closed & (F.size("at") >= 2)),
     }
-    return x.select("question_id", *[v.alias(k) for k, v in votes.items()], *PAIR_VOTES)
+    return language_votes(materialize(x.select("question_id", *[v.alias(k) for k, v in votes.items()], *MARKS.names)))
 
 
 #: Functions that say yes of this share of sound pairs, or more, support others but make no defect alone.
@@ -193,8 +195,7 @@ CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copy": 0.5, "language": 0.5, "truncate
 def defect_labels(df: DataFrame, cutoffs: dict[str, float] | None = None) -> DataFrame:
     """question_id, labels: array<struct<defect, posterior>>, best first, all that reach their cut-off.
 
-    The votes are computed once and kept as a narrow table in the shared folder;
-    from it the counts of the vote patterns (at most 3^9 a defect, so their
+    From the table of votes the counts of the vote patterns (at most 3^9 a defect, so their
     number has a fixed bound) go to the driver, where the model is fitted; the
     posteriors go back as a literal map. Rows without a defect are left out;
     repeated rows count once in the result. Nulls in any text count as empty
@@ -202,7 +203,7 @@ def defect_labels(df: DataFrame, cutoffs: dict[str, float] | None = None) -> Dat
     an empty table gives no rows."""
     cutoffs = CUTOFFS | (cutoffs or {})
     slim = df.select("question_id", "question", "selected_ans", "new_question", "text", "generated_selected_ans", "answers").where("question_id is not null")
-    votes = materialize(labelling_votes(slim, known_words(slim)))
+    votes = labelling_votes(slim, known_words(slim))
     names = [c for c in votes.columns if c != "question_id"]
     of = {d: [c for c in names if c.startswith(d + "__")] for d in DEFECTS}
     key = {d: F.concat_ws(",", *[F.col(c).cast("string") for c in of[d]]) for d in DEFECTS}
